@@ -44,7 +44,8 @@ def best_row() -> Column:
 def stream_state(spark: SparkSession, log: str, checkpoint: str, out: str, files_per_batch: int | None = None) -> DataFrame:
     """Feeds the log's files through the keyed state and returns its last value for each digest. A restart with the same checkpoint resumes."""
     own = spark.newSession()
-    for k, v in ROCKSDB.items():
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")  # a new session starts from the application's settings
+    for k, v in (ROCKSDB | {"spark.sql.shuffle.partitions": partitions}).items():
         own.conf.set(k, v)
     source = own.readStream.schema(spark.read.parquet(log).schema)
     if files_per_batch:
