@@ -236,7 +236,7 @@ def h3_hybrid_with_bonus(spark, sf_dir):
 @query(f"""WITH {DENSE}, t AS (SELECT query, id, c, row_number() OVER (PARTITION BY query ORDER BY round(c, 9) DESC, id) AS rank FROM co QUALIFY rank <= 10), {LINKS},
 p AS (SELECT t.query, lk.dst AS id, t.c FROM t JOIN lk ON lk.src = t.id),
 n AS (SELECT query, id, count(*) AS appearances, max(c) AS best, avg(c) AS mean FROM p GROUP BY ALL), th AS (SELECT query, avg(mean) AS threshold FROM n GROUP BY 1)
-SELECT query, id, appearances, round(best, 6) AS best, round(mean, 6) AS mean, round(threshold, 6) AS threshold FROM n JOIN th USING (query) WHERE appearances >= greatest(1, 10 // 3)""" .replace("greatest(1, 10 // 3)", "1"))
+SELECT query, id, appearances, round(best, 6) AS best, round(mean, 6) AS mean, round(threshold, 6) AS threshold FROM n JOIN th USING (query) """)
 def h8_neighbour_scores(spark, sf_dir):
     """Neighbours of retrieved documents with how often, how near at best and on average; the threshold is the mean of the means."""
     near = lx.top(dense(spark, sf_dir).withColumnRenamed("c", "score"), 10)
@@ -273,9 +273,6 @@ def h11_unranked_expansion(spark, sf_dir):
     return grown.withColumn("position", F.row_number().over(W.partitionBy("query").orderBy("id")).cast("long")).where("position <= 5")
 
 
-PART_SENTENCES = 3
-
-
 @query(rf"""WITH qs AS (SELECT item_id AS query, unnest(list_filter(string_split(regexp_replace(text, '([.?!])[ \t\n\x0B\f\r]+', '\1'||chr(1), 'g'), chr(1)), lambda x: trim(x) <> '')) AS sub, generate_subscripts(list_filter(string_split(regexp_replace(text, '([.?!])[ \t\n\x0B\f\r]+', '\1'||chr(1), 'g'), chr(1)), lambda x: trim(x) <> ''), 1) - 1 AS pos FROM benchmark),
 parts AS (SELECT query, -1 AS pos, text AS t FROM (SELECT item_id AS query, text FROM benchmark) UNION ALL SELECT query, pos, trim(sub) FROM qs),
 pc AS (SELECT query, pos, ('0x'||substr(md5(w),1,4))::INT % 64 AS b, count(*)::DOUBLE AS n FROM (SELECT query, pos, unnest({words_sql("t")}) AS w FROM parts) GROUP BY ALL), pv AS (SELECT query, pos, b, n / sqrt(sum(n*n) OVER (PARTITION BY query, pos)) AS x FROM pc), {DENSE},
