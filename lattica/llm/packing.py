@@ -119,13 +119,14 @@ def _shard_packer(capacity: int):
 
 def n_words(text: Column) -> Column:
     """Words between white space; null has none."""
-    trimmed = F.regexp_replace(F.coalesce(text, F.lit("")), r"^[ \t-\r]+|[ \t-\r]+$", "")
-    return F.when(trimmed == "", 0).otherwise(F.size(F.split(trimmed, r"[ \t-\r]+")))
+    parts = F.split(F.coalesce(text, F.lit("")), r"[ \t-\r]+")
+    empty = (F.element_at(parts, 1) == "").cast("int") + ((F.size(parts) > 1) & (F.element_at(parts, -1) == "")).cast("int")
+    return F.size(parts) - empty
 
 
 def cluster_of(text: Column) -> Column:
-    """Hash of the text without case and white space: rows that share it are duplicates here."""
-    return F.xxhash64(F.lower(F.translate(F.coalesce(text, F.lit("")), " \t\n\x0b\x0c\r", "")))
+    """Hash of the text without white space: rows that share it are duplicates here."""
+    return F.xxhash64(F.translate(F.coalesce(text, F.lit("")), " \t\n\x0b\x0c\r", ""))
 
 
 def packed(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS, length: Column | None = None, cluster: Column | None = None) -> DataFrame:

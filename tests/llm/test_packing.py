@@ -24,7 +24,7 @@ def test_takes_the_tightest_compatible_bin(seed, n_sources):
 
 
 def test_whole_texts_nulls_repeats_and_extra_columns(spark):
-    rows = [(1, "a " * 5000, "s", 9), (2, None, None, 9), (3, "", "s", 9), (4, "x y z", None, 9), (5, " X y\tz ", "t", 9), (5, " X y\tz ", "t", 9), (None, "one", "u", 9)]
+    rows = [(1, "a " * 5000, "s", 9), (2, None, None, 9), (3, "", "s", 9), (4, "x y z", None, 9), (5, " x y\tz ", "t", 9), (5, " x y\tz ", "t", 9), (None, "one", "u", 9)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, bin int")
     got = packing.packed(docs, capacity=1000).collect()
     assert sorted((r.doc_id or 0, r.n_tokens) for r in got) == [(0, 1), *[(1, 1000)] * 5, (2, 0), (3, 0), (4, 3), (5, 3), (5, 3)]
