@@ -11,9 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Parameters: rows of a block; rows that the inverted file's centres are fitted on, its cells, cells probed, Lloyd rounds.
+#: Parameters: rows of a block; rows that the inverted file's centres are fitted on, rows of a cell, Lloyd rounds.
 BLOCK_ROWS = 2048
-CENTRE_SAMPLE, CELL_ROWS, PROBE_SHARE, ROUNDS, SEED = 20_000, 500, 0.35, 8, 3
+CENTRE_SAMPLE, CELL_ROWS, ROUNDS, SEED = 20_000, 500, 8, 3
+#: Share of a sample's true neighbours that the probed cells must hold, and rows of the sample that ask.
+RECALL, ASKING, NEIGHBOURS = 0.97, 200, 10
 # Fixed values of the adaptive cut.
 FIRST, CUT_PERCENTILE, LEAST_STEP = 25, 95, 0.01
 
@@ -112,13 +114,12 @@ def weighted_fusion(found: DataFrame, weights: dict[str, float], query: str = "s
 class InvertedFile:
     """Cells around centres that are fitted on a bounded sample; every row is indexed in its nearest cell.
 
-    A query looks through the nearest cells and re-ranks exactly. Cells are searched block by block, so a hot cell is shared out.
+    A query looks through the nearest cells and re-ranks exactly; how many is measured on the sample. Cells are searched block by block, so a hot cell is shared out.
     """
 
     def __init__(self, base: DataFrame, n_cells: int | None = None, probe: int | None = None):
         n = base.count()
         self.n_cells = n_cells or max(1, min(4096, n // CELL_ROWS + 1))
-        self.probe = probe or max(1, math.ceil(self.n_cells * (PROBE_SHARE if self.n_cells < 64 else 0.1)))
         share = min(1.0, CENTRE_SAMPLE / max(n, 1))
         rows = base.where(F.pmod(F.xxhash64("id", F.lit("centres")), F.lit(1_000_000)) < share * 1_000_000).orderBy("id").select("vector").collect()
         x = _unit([r.vector for r in rows]) if rows else np.zeros((1, 1))
@@ -130,8 +131,21 @@ class InvertedFile:
             size = np.linalg.norm(sums, axis=1, keepdims=True)
             centres = np.where(size > 0, sums / np.where(size > 0, size, 1), centres)
         self.centres = centres
+        self.probe = probe or self._probe_for(x)
         self.cells = self._celled(base, 1)
 
+    def _probe_for(self, x: np.ndarray) -> int:
+        """The fewest cells that hold RECALL of the true neighbours of some sample rows, so clustered data probes few and even data many."""
+        asking = x[:: max(1, len(x) // ASKING)][:ASKING]
+        sims = asking @ x.T
+        k = min(NEIGHBOURS + 1, len(x))  # each row finds itself first
+        near = np.argsort(-sims, axis=1, kind="stable")[:, 1:k]
+        order = np.argsort(-(asking @ self.centres.T), axis=1, kind="stable")
+        place = np.argsort(order, axis=1, kind="stable")  # of each cell in a row's order
+        cell = (x @ self.centres.T).argmax(1)
+        ranks = np.take_along_axis(place, cell[near], axis=1).ravel()
+        return int(np.quantile(ranks, RECALL, method="higher")) + 1 if len(ranks) else 1
+
     def _celled(self, df: DataFrame, probe: int) -> DataFrame:
         centres = df.sparkSession.sparkContext.broadcast(self.centres)
 
