@@ -6,7 +6,6 @@ automaton has a bounded size; no window is dropped.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import ahocorasick
@@ -92,18 +91,22 @@ def original_spans(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, in
     return [(at[s][0], at[e - 1][1]) for s, e in runs]
 
 
-HIT = "n_words long, runs array<struct<first long, until long>>, spans array<struct<start long, until long>>, items array<string>"
+RUNS, SPANS = "array<struct<first long, until long>>", "array<struct<start long, until long>>"
+
+
+def _span_rows(text: str | None, runs: list[tuple[int, int]]) -> list[dict]:
+    return [{"start": s, "until": e} for s, e in original_spans(text, runs)] if runs else []
 
 
 def _scanner(bound):
-    @F.pandas_udf(HIT)
+    @F.pandas_udf(f"n_words long, runs {RUNS}, spans {SPANS}, items array<string>")
     def scanned(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         a = automaton(bound.value)
         for texts in batches:
             out = []
             for t in texts:
                 n, runs, items = scan(t, a)
-                out.append((n, [{"first": s, "until": e} for s, e in runs], [{"start": s, "until": e} for s, e in original_spans(t, runs)] if runs else [], items))
+                out.append((n, [{"first": s, "until": e} for s, e in runs], _span_rows(t, runs), items))
             yield pd.DataFrame(out, columns=["n_words", "runs", "spans", "items"])
 
     return scanned
@@ -120,21 +123,27 @@ def find(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, chars: int =
     if len(sets) == 1:
         return docs.withColumn("hit", _scanner(sets[0])("text"))
     rows = located(docs)
-    each = [rows.select("__file", "__row", _scanner(s)("text").alias("h")) for s in sets]
-    found = each[0]
-    for e in each[1:]:
-        found = found.unionByName(e)
-    union = found.groupBy("__file", "__row").agg(F.max("h.n_words").alias("n_words"), F.flatten(F.collect_list("h.runs")).alias("runs"), F.flatten(F.collect_list("h.spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("h.items")))).alias("items"))
-    union = written(union.select("__file", "__row", F.struct("n_words", _merged("runs", "first").alias("runs"), _merged("spans", "start").alias("spans"), "items").alias("hit")), "hits")
-    out = rows.drop("hit").join(union, ["__file", "__row"])
-    return out.drop("__file", "__row")
+    found = None
+    for part in sets:
+        one = rows.select("__file", "__row", _scanner(part)("text").alias("h"))
+        found = one if found is None else found.unionByName(one)
+    union = found.groupBy("__file", "__row").agg(F.max("h.n_words").alias("n_words"), F.flatten(F.collect_list("h.runs")).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("h.items")))).alias("items"))
+    union = written(union.select("__file", "__row", "n_words", _merged("runs").alias("runs"), "items"), "hits")  # at most one row for each set and text
+
+    @F.pandas_udf(SPANS)
+    def spans(texts: pd.Series, runs: pd.Series) -> pd.Series:
+        return pd.Series([_span_rows(t, [(x["first"], x["until"]) for x in r]) for t, r in zip(texts, runs, strict=True)], dtype=object)
 
+    out = rows.drop("hit").join(union, ["__file", "__row"]).withColumn("hit", F.struct("n_words", "runs", spans("text", "runs").alias("spans"), "items"))
+    return out.select(*[f"`{c}`" for c in docs.columns if c != "hit"], "hit")
 
-def _merged(runs: str, first: str):
+
+def _merged(runs: str):
     """Sorted runs with those that touch made one."""
+    last = "element_at(acc, -1)"
     return F.expr(
-        f"aggregate(array_sort({runs}), cast(array() as array<struct<{first}: bigint, until: bigint>>), (acc, r) -> "
-        f"if(size(acc) > 0 and r.{first} <= element_at(acc, -1).until, concat(slice(acc, 1, size(acc) - 1), array(named_struct('{first}', element_at(acc, -1).{first}, 'until', greatest(element_at(acc, -1).until, r.until)))), concat(acc, array(r))))"
+        f"aggregate(array_sort({runs}), cast(array() as {RUNS.replace('long', 'bigint')}), (acc, r) -> if(size(acc) > 0 and r.first <= {last}.until, "
+        f"concat(slice(acc, 1, size(acc) - 1), array(named_struct('first', {last}.first, 'until', greatest({last}.until, r.until)))), concat(acc, array(r))))"
     )
 
 
@@ -146,7 +155,3 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without those that hold a window of an item; columns as given."""
     rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs["text"].alias("text"))
     return find(rows, benchmark).where(F.size("hit.runs") == 0).select("row.*")
-
-
-def digest_of(items: pd.Series) -> pd.Series:
-    return items.map(lambda x: hashlib.sha256(",".join(x).encode()).hexdigest())
