@@ -4,6 +4,7 @@ import math
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from lattica import catalog
@@ -24,7 +25,7 @@ def rows(df):
     cols = sorted(df.columns)
 
     def value(v):
-        if v is None or (isinstance(v, float) and math.isnan(v)):
+        if v is None or v is pd.NA or (isinstance(v, float) and math.isnan(v)):
             return None
         if isinstance(v, float):
             return float(f"{v:.10g}")
