@@ -23,6 +23,8 @@ ROCKSDB = {
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # preallocated files would take about 3 MB for each store
     "spark.sql.streaming.minBatchesToRetain": "2",
 }
+#: On file:// paths, where the default manager starts a chmod process for each file.
+LOCAL_FILES = {"spark.sql.streaming.checkpointFileManagerClass": "org.apache.spark.sql.execution.streaming.checkpointing.FileSystemBasedCheckpointFileManager"}
 
 
 def normalised(text: Column) -> Column:
@@ -46,7 +48,7 @@ def stream_state(spark: SparkSession, log: str, checkpoint: str, out: str, files
     """Feeds the log's files through the keyed state and returns its last value for each digest. A restart with the same checkpoint resumes."""
     own = spark.newSession()
     partitions = spark.conf.get("spark.sql.shuffle.partitions")  # a new session starts from the application's settings
-    for k, v in (ROCKSDB | {"spark.sql.shuffle.partitions": partitions}).items():
+    for k, v in (ROCKSDB | (LOCAL_FILES if checkpoint.startswith(("file:", "/")) else {}) | {"spark.sql.shuffle.partitions": partitions}).items():
         own.conf.set(k, v)
     source = own.readStream.schema(spark.read.parquet(log).schema)
     if files_per_batch:
