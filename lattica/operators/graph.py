@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -62,6 +65,55 @@ def levels(edges: DataFrame, starts: DataFrame, max_depth: int | None = None) ->
     return seen
 
 
+def farthest(sources: np.ndarray, starts: np.ndarray, order: np.ndarray, width: int = 512) -> np.ndarray:
+    """Depth of the farthest reached node from each source, a node's number; node i's neighbours are order[starts[i] : starts[i + 1]], one at least.
+
+    Up to `width` searches run at once, each as one bit of a node's row.
+    """
+    depths = np.zeros(len(sources), dtype=np.int64)
+    for at in range(0, len(sources), width):
+        part = sources[at : at + width]
+        bit = np.arange(len(part))
+        front = np.zeros((len(starts) - 1, (len(part) + 63) // 64), dtype=np.uint64)
+        np.bitwise_or.at(front, (part, bit // 64), np.uint64(1) << (bit % 64).astype(np.uint64))
+        seen, depth = front.copy(), 0
+        while True:
+            depth += 1
+            front = np.bitwise_or.reduceat(front[order], starts[:-1], axis=0) & ~seen
+            some = np.bitwise_or.reduce(front, axis=0)
+            if not some.any():
+                break
+            seen |= front
+            live = (some[bit // 64] >> (bit % 64).astype(np.uint64)) & np.uint64(1)
+            depths[at : at + width][live.astype(bool)] = depth
+    return depths
+
+
+def eccentricities(edges: DataFrame, limit: int = 4_000_000) -> DataFrame:
+    """id, depth: distance of the farthest node of its component, for every node of the edges.
+
+    Up to `limit` directed edges each task holds the whole graph as arrays; beyond, levels() writes all pairs.
+    """
+    both = settled(both_ways(edges))
+    ids = both.select(F.col("src").alias("origin")).distinct()
+    if both.count() > limit:
+        return levels(edges, ids).groupBy(F.col("origin").alias("id")).agg(F.max("depth").cast("long").alias("depth"))
+    pairs = both.toArrow()
+    src, dst = (pairs[c].to_numpy() for c in ("src", "dst"))
+    nodes, number = np.unique(src, return_inverse=True)
+    by = np.argsort(number, kind="stable")
+    starts = np.searchsorted(number[by], np.arange(len(nodes) + 1))
+    held = edges.sparkSession.sparkContext.broadcast((nodes, starts, np.searchsorted(nodes, dst)[by]))
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        nodes, starts, order = held.value
+        for b in batches:
+            yield pd.DataFrame({"id": b["origin"], "depth": farthest(np.searchsorted(nodes, b["origin"].to_numpy()), starts, order)})
+
+    tasks = max(1, min(len(nodes) // 512, 4 * edges.sparkSession.sparkContext.defaultParallelism))
+    return ids.repartition(tasks).mapInPandas(search, "id long, depth long")
+
+
 def shortest_paths(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """origin, target, depth, path: the lexicographically least shortest path of each pair; a pair without one is left out."""
     both = settled(both_ways(edges))

@@ -103,6 +103,12 @@ def g5_diameter(spark, sf_dir):
     return g.levels(small, starts).agg(F.max("depth").alias("longest"))
 
 
+@query()
+def g5_diameter_whole(spark, sf_dir):
+    """Longest shortest path of the whole graph (its largest, if it isn't connected)."""
+    return g.eccentricities(_edges(spark, sf_dir)).agg(F.max("depth").alias("longest"))
+
+
 @query(f"""WITH {EDGES}, d AS (SELECT src AS id, count(*) AS degree FROM und GROUP BY 1), t AS (SELECT x.src AS id, count(*) / 2 AS triangles FROM und x JOIN und y ON x.dst = y.src JOIN und z ON y.dst = z.src AND z.dst = x.src GROUP BY 1)
 SELECT d.id, degree, coalesce(triangles, 0)::BIGINT AS triangles, round(CASE WHEN degree > 1 THEN coalesce(triangles, 0) / (degree * (degree - 1) / 2.0)::DOUBLE ELSE 0 END, 9) AS coefficient FROM d LEFT JOIN t USING (id)""")
 def g6_clustering(spark, sf_dir):
