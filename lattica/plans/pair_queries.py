@@ -186,6 +186,15 @@ def _names(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", words.alias("names"))
 
 
+_ALL_ENT = "list_filter(string_split(lower(text), ' '), lambda w: length(w) BETWEEN 3 AND 6)"
+
+
+def _all_names(spark, sf_dir):
+    """As _names, of the whole text."""
+    words = F.filter(F.split(F.lower("text"), " "), lambda w: F.length(w).between(3, 6))
+    return table(spark, sf_dir, "documents").select("doc_id", words.alias("names"))
+
+
 def _neighbours(rows):
     a, b = rows.select(F.col("doc_id").alias("a"), F.col("names").alias("x")), rows.select((F.col("doc_id") - 1).alias("a"), F.col("doc_id").alias("b"), F.col("names").alias("y"))
     return a.join(b, "a")
@@ -193,7 +202,7 @@ def _neighbours(rows):
 
 @query()
 def j16_fuzzy_entity_matches(spark, sf_dir):
-    return _neighbours(_names(spark, sf_dir)).select("a", "b", pr.match_count("x", "y").alias("matches"))
+    return _neighbours(_all_names(spark, sf_dir)).select("a", "b", pr.match_count("x", "y").alias("matches"))
 
 
 @query()
@@ -227,6 +236,18 @@ def j19_first_matches(spark, sf_dir):
     return k.groupBy("a", "b").agg(F.count_if(F.col("kind") == "exact").alias("exact"), F.count_if(F.col("kind") == "partial").alias("partial"))
 
 
+@query(f"""WITH n AS (SELECT doc_id, {_ALL_ENT} AS w FROM documents), p AS (SELECT a.doc_id AS a, b.doc_id AS b, unnest(a.w) AS x, b.w AS y FROM n a JOIN n b ON b.doc_id = a.doc_id + 1),
+k AS (SELECT a, b, x, list_filter(y, lambda z: contains(z, x))[1] AS hit FROM p) SELECT a, b, count(*) FILTER (hit = x) AS exact, count(*) FILTER (hit <> x) AS partial FROM k GROUP BY a, b""")
+def j19_first_matches_whole(spark, sf_dir):
+    n = _neighbours(_all_names(spark, sf_dir)).where(F.size("x") > 0)
+    return n.select("a", "b", pr.first_match_counts("x", "y").alias("n")).select("a", "b", "n.exact", "n.partial")
+
+
+@query(f"WITH n AS (SELECT doc_id, {_ALL_ENT} AS w FROM documents) SELECT a.doc_id AS a, b.doc_id AS b, len(list_filter(a.w, lambda x: list_contains(b.w, x))) AS matches FROM n a JOIN n b ON b.doc_id = a.doc_id + 1")
+def j20_equal_names_whole(spark, sf_dir):
+    return _neighbours(_all_names(spark, sf_dir)).select("a", "b", F.size(F.filter("x", lambda v: F.array_contains("y", v))).cast("long").alias("matches"))  # both sides are lower-case words
+
+
 @query(f"WITH n AS (SELECT doc_id, {_ENT} AS w FROM documents) SELECT a.doc_id AS a, b.doc_id AS b, len(list_filter(a.w, lambda x: list_contains(b.w, x))) AS matches FROM n a JOIN n b ON b.doc_id = a.doc_id + 1")
 def j20_equal_names(spark, sf_dir):
     return _neighbours(_names(spark, sf_dir)).select("a", "b", pr.equal_ignoring_case(F.col("x"), F.col("y")).cast("long").alias("matches"))

@@ -3,10 +3,14 @@
 from collections import deque
 
 import numpy as np
+import pandas as pd
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from lattica import catalog
 from lattica.operators import graph as g
+from lattica.operators import pairs as pr
 
 SF = "/root/testdata/sf0.001"
 
@@ -47,3 +51,32 @@ def test_diameter_counts_all_nodes(spark):
 
     want = max(depths([tuple(e) for e in _edges(spark, SF).select("src", "dst").collect()]).values())
     assert catalog.queries()["g5_diameter_whole"](spark, SF).first().longest == want > catalog.queries()["g5_diameter"](spark, SF).first().longest
+
+
+def greedy(left, right):
+    free, out = list(range(len(right))), []
+    for i, a in enumerate(left):
+        best = max(free, key=lambda j: (pr.similarity(a, right[j]), -j), default=None)
+        if best is not None and pr.similarity(a, right[best]) >= 0.75:
+            free.remove(best)
+            out.append((i, best))
+    return out
+
+
+names = st.lists(st.text("abcé_ .", max_size=6), max_size=25)
+
+
+@given(names, names)
+@settings(max_examples=300, deadline=None)
+def test_greedy_matches_equal_the_rule(left, right):
+    assert pr.greedy_matches(left, right) == greedy(left, right)
+
+
+def test_names_behind_the_prefix_match(spark, tmp_path):
+    long = " ".join(["und"] * 200)
+    texts = [long + " berlin madrid", "x " * 300 + "berlin madrid", None]
+    pd.DataFrame({"doc_id": [1, 2, 3], "text": texts}).to_parquet(tmp_path / "documents.parquet")
+    first = lambda name: {(r.a, r.b): r for r in catalog.queries()[name](spark, str(tmp_path)).collect()}
+    assert {k: r.matches for k, r in first("j16_fuzzy_entity_matches").items()} == {(1, 2): 2, (2, 3): 0}
+    assert first("j20_equal_names_whole")[1, 2].matches == 2
+    assert first("j19_first_matches_whole")[1, 2][2:] == (2, 0)
