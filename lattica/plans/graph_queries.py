@@ -61,6 +61,14 @@ def g2_matches_in_component(spark, sf_dir):
     return q.join(b, "component").where("src <> dst").select("src", "dst", "component")
 
 
+@query(f"WITH RECURSIVE {EDGES}, {_REACH} SELECT a.id AS src, b.id AS dst, a.component FROM comp a JOIN comp b USING (component) WHERE a.id % 100 = 0 AND a.id <> b.id")
+def g2_matches_in_component_whole(spark, sf_dir):
+    """As g2_matches_in_component, with all rows as matches."""
+    c = g.components(_base(spark, sf_dir), _edges(spark, sf_dir))
+    q = c.where("id % 100 = 0").withColumnRenamed("id", "src")
+    return q.join(c.withColumnRenamed("id", "dst"), "component").where("src <> dst").select("src", "dst", "component")
+
+
 _LEVELS = """bfs(origin, id, depth) AS (SELECT vec_id, vec_id, 0 FROM e WHERE vec_id % 100 = 0 UNION SELECT r.origin, u.dst, r.depth + 1 FROM bfs r JOIN und u ON r.id = u.src WHERE r.depth < 12),
 lev AS (SELECT origin, id, min(depth) AS depth FROM bfs GROUP BY 1, 2)"""
 
@@ -73,6 +81,13 @@ def g3_shortest_paths(spark, sf_dir):
     return found.where(F.size("path") == F.col("depth") + 1).select("origin", "target", "depth")
 
 
+@query(f"WITH RECURSIVE {EDGES}, {_LEVELS} SELECT origin, id AS target, depth FROM lev WHERE id <> origin")
+def g3_shortest_paths_whole(spark, sf_dir):
+    """As g3_shortest_paths, with all reached rows as targets."""
+    origins = _base(spark, sf_dir).where("id % 100 = 0").select(F.col("id").alias("origin"))
+    return g.levels(_edges(spark, sf_dir), origins).where("origin <> id").select("origin", F.col("id").alias("target"), "depth")
+
+
 @query(f"WITH RECURSIVE {EDGES}, {_LEVELS} SELECT origin, count(*) AS reached, max(depth) AS eccentricity, round(avg(depth), 6) AS mean, count(*) FILTER (depth = 1) AS one, count(*) FILTER (depth = 2) AS two, round(quantile_cont(depth, 0.9), 6)::DOUBLE AS p90 FROM lev WHERE depth > 0 GROUP BY 1")
 def a23_path_length_statistics(spark, sf_dir):
     edges = _edges(spark, sf_dir)
