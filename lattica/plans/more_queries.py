@@ -176,6 +176,14 @@ def q7_relevance_filter(spark, sf_dir):
     return d.select("id").join(kept, "id", "left").join(failed, "id", "left").select("id", F.coalesce("k", F.lit(False)).alias("kept"), F.coalesce("f", F.lit(False)).alias("kept_on_failure"))
 
 
+@query("SELECT doc_id AS id, contains(text, 'the') AS kept, true AS kept_on_failure FROM documents")
+def q7_relevance_filter_whole(spark, sf_dir):
+    """As q7_relevance_filter, of all documents."""
+    d = table(spark, sf_dir, "documents").select(F.lit(1).alias("query"), F.col("doc_id").alias("id"), F.lit("?").alias("question"), "text")
+    kept, failed = em.relevant(d, _has_word).select("id", F.lit(True).alias("k")), em.relevant(d, _fails).select("id", F.lit(True).alias("f"))
+    return d.select("id").join(kept, "id", "left").join(failed, "id", "left").select("id", F.coalesce("k", F.lit(False)).alias("kept"), F.coalesce("f", F.lit(False)).alias("kept_on_failure"))
+
+
 @query("SELECT 'customer' AS name, count(*) AS n, 5 AS n_columns FROM customer UNION ALL SELECT 'nation', count(*), 3 FROM nation UNION ALL SELECT 'documents', count(*), 5 FROM documents")
 def q10_catalog(spark, sf_dir):
     parts = [table(spark, sf_dir, t) for t in ("customer", "nation", "documents")]

@@ -80,3 +80,13 @@ def test_names_behind_the_prefix_match(spark, tmp_path):
     assert {k: r.matches for k, r in first("j16_fuzzy_entity_matches").items()} == {(1, 2): 2, (2, 3): 0}
     assert first("j20_equal_names_whole")[1, 2].matches == 2
     assert first("j19_first_matches_whole")[1, 2][2:] == (2, 0)
+
+
+def documents(folder, n):
+    pd.DataFrame({"doc_id": range(1, n + 1), "text": [("the " if i % 3 else "no ") * (i % 7 + 1) for i in range(1, n + 1)]}).to_parquet(folder / "documents.parquet")
+
+
+def test_relevance_is_judged_for_ids_of_any_ending(spark, tmp_path):
+    documents(tmp_path, 9)
+    got = {r.id: (r.kept, r.kept_on_failure) for r in catalog.queries()["q7_relevance_filter_whole"](spark, str(tmp_path)).collect()}
+    assert got == {i: (i % 3 > 0, True) for i in range(1, 10)}
