@@ -214,6 +214,21 @@ def s5_json_containers(spark, sf_dir):
     return got.select("source", F.length("content").cast("long").alias("n"))
 
 
+@query("SELECT CASE WHEN doc_id % 2 = 0 THEN 'd'||doc_id ELSE 'item_'||(row_number() OVER (PARTITION BY doc_id // 400, doc_id % 4 ORDER BY doc_id) - 1) END AS source, length(text) AS n FROM documents")
+def s5_json_containers_whole(spark, sf_dir):
+    """As s5_json_containers, of all documents: containers hold the documents of one kind among 400 ids, a file each."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    entry = F.struct(F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("d"), F.col("doc_id").cast("string"))).alias("id"), F.col("text"))
+    files = d.groupBy((F.col("doc_id") % 4).alias("k"), F.floor(F.col("doc_id") / 400).alias("block")).agg(F.array_sort(F.collect_list(F.struct("doc_id", entry.alias("e")))).alias("l")).select("k", F.transform("l", lambda x: x["e"]).alias("l"))
+    path = _folder(spark, "containers")
+    body = F.when(F.col("k") == 0, F.to_json("l"))
+    for i, name in enumerate(("content", "data", "items", "entries")):
+        body = body if i == 0 else F.when(F.col("k") == i, F.to_json(F.struct(F.col("l").alias(name)))).otherwise(body)
+    files.select("k", body.alias("value")).write.partitionBy("k").option("maxRecordsPerFile", 1).text(path)
+    got = rd.json_entries(spark, f"{path}/k=*/*.txt")
+    return got.select("source", F.length("content").cast("long").alias("n"))
+
+
 @query("SELECT vec_id AS src, vec_id + 1 AS dst, 'doc-doc' AS edge_type FROM embeddings WHERE vec_id % 3 <> 2 AND (vec_id + 1) % 3 <> 2")
 def s17_simple_graph_import(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"))
@@ -249,6 +264,15 @@ def s32_evidence(spark, sf_dir):
     return spark.read.schema("id long, rank long, question long").json(folder).select("question", "id", "rank")
 
 
+@query(f"WITH {EV} SELECT query AS question, id, rank FROM rk WHERE rank <= 3")
+def s32_evidence_whole(spark, sf_dir):
+    """As s32_evidence, of all questions; a file each."""
+    folder = _folder(spark, "evidence")
+    r = g.settled(_ranked(spark, sf_dir, 3).select("query", "id", "rank"))
+    r.withColumnRenamed("query", "question").repartition("question").write.partitionBy("question").json(folder)
+    return spark.read.schema("id long, rank long, question long").json(folder).select("question", "id", "rank")
+
+
 @query("SELECT vec_id AS id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS position FROM embeddings")
 def s20_feature_store(spark, sf_dir):
     """Vectors written by feature and read back in order."""

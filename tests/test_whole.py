@@ -90,3 +90,9 @@ def test_relevance_is_judged_for_ids_of_any_ending(spark, tmp_path):
     documents(tmp_path, 9)
     got = {r.id: (r.kept, r.kept_on_failure) for r in catalog.queries()["q7_relevance_filter_whole"](spark, str(tmp_path)).collect()}
     assert got == {i: (i % 3 > 0, True) for i in range(1, 10)}
+
+
+def test_several_containers_of_each_kind_are_read(spark, tmp_path):
+    documents(tmp_path, 900)
+    got = [r.source for r in catalog.queries()["s5_json_containers_whole"](spark, str(tmp_path)).collect()]
+    assert len(got) == 900 and {f"d{i}" for i in range(2, 901, 2)} <= set(got) and got.count("item_0") == 6
