@@ -257,6 +257,14 @@ def j10_metadata_lookup(spark, sf_dir):
     return o.join(c, F.col("o_custkey") == F.col("c_custkey"), "left").join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey"), "left").select("o_orderkey", "o_custkey", "c_name", "n_name")
 
 
+@query("SELECT o_orderkey, o_custkey, c_name, n_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey")
+def j10_metadata_lookup_whole(spark, sf_dir):
+    """As j10_metadata_lookup, of all orders."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    c, n = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
+    return o.join(c, F.col("o_custkey") == F.col("c_custkey"), "left").join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey"), "left").select("o_orderkey", "o_custkey", "c_name", "n_name")
+
+
 @query("SELECT o_orderkey, year(o_orderdate) AS year FROM orders WHERE year(o_orderdate) BETWEEN 1994 AND 1996")
 def f2_year_range(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", F.year("o_orderdate").cast("long").alias("year")).where(F.col("year").between(1994, 1996))
@@ -376,6 +384,15 @@ def q5_citation_strategy(spark, sf_dir):
     return rows.select(F.col("l_orderkey").alias("id"), F.lit("holds").alias("how")).unionAll(rows.select(F.col("l_suppkey").alias("id"), F.lit("supplies").alias("how")))
 
 
+@query("""WITH best AS (SELECT p_partkey FROM part ORDER BY p_size DESC, p_partkey LIMIT 1)
+SELECT l_orderkey AS id, 'holds' AS how FROM lineitem JOIN best ON l_partkey = p_partkey UNION ALL SELECT l_suppkey, 'supplies' FROM lineitem JOIN best ON l_partkey = p_partkey""")
+def q5_citation_strategy_whole(spark, sf_dir):
+    """As q5_citation_strategy, with the best of all parts."""
+    best = table(spark, sf_dir, "part").orderBy(F.desc("p_size"), "p_partkey").limit(1).select("p_partkey")
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_partkey").join(F.broadcast(best), F.col("l_partkey") == F.col("p_partkey"))
+    return rows.select(F.col("l_orderkey").alias("id"), F.lit("holds").alias("how")).unionAll(rows.select(F.col("l_suppkey").alias("id"), F.lit("supplies").alias("how")))
+
+
 @query("""WITH c AS (SELECT c_custkey FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 2), o AS (SELECT o_orderkey FROM orders JOIN c ON o_custkey = c_custkey ORDER BY o_orderkey LIMIT 100), p AS (SELECT DISTINCT l_partkey FROM lineitem JOIN o ON l_orderkey = o_orderkey)
 SELECT l_orderkey AS id, count(DISTINCT l_partkey) AS shared FROM lineitem JOIN p USING (l_partkey) WHERE l_orderkey NOT IN (SELECT o_orderkey FROM o) GROUP BY 1 ORDER BY shared DESC, id LIMIT 10""")
 def q12_end_to_end(spark, sf_dir):
