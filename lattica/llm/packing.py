@@ -1,6 +1,7 @@
 """Best-fit packing under conflicts: no bin holds two pieces of one source or of one cluster of duplicates.
 
-Rows are dealt by a hash into shards of bounded expected size, each packed by itself, so a hot source or cluster spreads evenly.
+Pieces are dealt by a hash into shards of bounded expected size, each packed by itself in a task of its own number, so a hot
+source, cluster or text spreads evenly.
 In a shard pieces come by falling size. Open bins are ordered by what is left of them; each carries a bitmap of its sources and
 one of its duplicate clusters. The search starts at the tightest bin that has room and goes on to the next larger one until the
 bitmaps are disjoint from the piece's; only if no open bin is compatible, a new one is opened. For sources an index of residuals
@@ -11,16 +12,17 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import located
+from .common import located, written
 
-#: Parameters: tokens in a bin; rows that a shard has on average.
-CAPACITY, SHARD_ROWS = 2048, 10_000
+#: Parameters: tokens in a bin; pieces that a shard has on average; tasks at most, each of which packs its shards one after the other.
+CAPACITY, SHARD_PIECES, MAX_TASKS = 2048, 10_000, 100_000
 #: Pieces of a source in a shard from which it has an index of residuals.
 FREQUENT = 32
 
@@ -103,16 +105,30 @@ def pack(sizes: list[int], sources: list[int], clusters: list[int], capacity: in
     return out, offset
 
 
-def _shard_packer(capacity: int):
-    def packed(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["n_tokens", "doc_id", "piece", "rid"], ascending=[False, True, True, True], kind="stable", ignore_index=True)
-        together = pdf.groupby("cluster")["cluster"].transform("size") > 1
-        dense = pd.factorize(pdf["cluster"].where(together))[0].tolist()  # -1 for those that are alone
-        names = pdf["source"].isna().map({True: "", False: "s"}) + pdf["source"].fillna("")
-        rank = {name: i for i, name in enumerate(names.value_counts().sort_index().sort_values(ascending=False, kind="stable").index)}
-        source = names.map(rank).tolist()
-        b, at = pack(pdf["n_tokens"].tolist(), source, dense, capacity)
-        return pd.DataFrame({"doc_id": pdf["doc_id"], "piece": pdf["piece"], "start": pdf["piece"].astype("int64") * capacity, "n_tokens": pdf["n_tokens"], "shard": pdf["shard"], "bin": b, "offset": at})
+OUT = "doc_id long, piece int, start long, n_tokens int, shard int, bin int, offset int"
+
+
+def _packed_shard(pdf: pd.DataFrame, capacity: int) -> pd.DataFrame:
+    """Bins of one shard's pieces, which come by falling size."""
+    together = pdf.groupby("cluster")["cluster"].transform("size") > 1
+    dense = pd.factorize(pdf["cluster"].where(together))[0].tolist()  # -1 for those that are alone
+    names = pdf["source"].isna().map({True: "", False: "s"}) + pdf["source"].fillna("")
+    rank = {name: i for i, name in enumerate(names.value_counts().sort_index().sort_values(ascending=False, kind="stable").index)}
+    b, at = pack(pdf["n_tokens"].tolist(), names.map(rank).tolist(), dense, capacity)
+    return pd.DataFrame({"doc_id": pdf["doc_id"], "piece": pdf["piece"], "start": pdf["piece"].astype("int64") * capacity, "n_tokens": pdf["n_tokens"], "shard": pdf["shard"], "bin": b, "offset": at}).astype({"doc_id": "Int64"})
+
+
+def _packer(capacity: int):
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for pdf in batches:  # sorted by shard, each of which is in one partition
+            for _, part in pdf.groupby("shard", sort=False):
+                if held and held[0]["shard"].iloc[0] != part["shard"].iloc[0]:
+                    yield _packed_shard(pd.concat(held, ignore_index=True), capacity)
+                    held = []
+                held.append(part)
+        if held:
+            yield _packed_shard(pd.concat(held, ignore_index=True), capacity)
 
     return packed
 
@@ -129,20 +145,31 @@ def cluster_of(text: Column) -> Column:
     return F.xxhash64(F.translate(F.coalesce(text, F.lit("")), " \t\n\x0b\x0c\r", ""))
 
 
-def packed(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS, length: Column | None = None, cluster: Column | None = None) -> DataFrame:
+def packed(docs: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES, length: Column | None = None, cluster: Column | None = None) -> DataFrame:
     """One row per piece: doc_id, piece, start (token), n_tokens, shard, bin, offset in the bin; (shard, bin) names a bin.
 
-    A text longer than a bin gives full pieces and a rest; pieces of one text or of its duplicates never share a bin. A text
-    without words (null, empty) is one piece of 0 tokens, in a bin -1. Null sources count as one source. Repeated rows are packed
-    each. Other columns aren't read.
+    A text longer than a bin gives full pieces and a rest, however many they are; pieces of one text or of its duplicates never
+    share a bin. A text without words (null, empty) is one piece of 0 tokens, in a bin -1. Null sources count as one source.
+    Repeated rows are packed each. Pieces of equal size come by doc_id, piece and a hash of the stored row. An empty table gives an
+    empty table. Columns other than doc_id, text and source aren't read, whatever their names; length and cluster are expressions
+    on the columns of docs that replace word counts and text hashes.
     """
     size = F.coalesce(length if length is not None else n_words(F.col("text")), F.lit(0)).cast("int")
-    rows = located(docs).select("doc_id", F.xxhash64("__file", "__row").alias("rid"), F.col("source").cast("string").alias("source"), size.alias("size"), (cluster if cluster is not None else cluster_of(F.col("text"))).alias("cluster"))
-    pieces = rows.select("doc_id", "rid", "source", "cluster", F.explode(F.expr(f"sequence(0, greatest(0, cast(ceil(size / {capacity}) as int) - 1))")).alias("piece"), "size")
-    pieces = pieces.select("doc_id", "rid", "source", "cluster", "piece", F.least(F.lit(capacity), F.col("size") - F.col("piece") * capacity).alias("n_tokens"))
-    n_shards = max(1, math.ceil(docs.count() / shard_rows))
-    pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("rid", "piece"), F.lit(n_shards)).cast("int"))
-    out = "doc_id long, piece int, start long, n_tokens int, shard int, bin int, offset int"
-    some = pieces.where("n_tokens > 0").groupBy("shard").applyInPandas(_shard_packer(capacity), out)
+    own = docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), (cluster if cluster is not None else cluster_of(F.col("text"))).alias("cluster"))
+    rows = written(located(own).select("row.*", F.xxhash64("file", "at").alias("rid")), "packing-rows")
+    n_pieces = F.greatest(F.lit(1), F.ceil(F.col("size") / capacity)).cast("int")
+    total = rows.agg(F.sum(n_pieces)).first()[0] or 0
+    n_shards = max(1, math.ceil(total / shard_pieces))
+    pieces = rows.select("doc_id", "rid", "source", "cluster", "size", F.explode(F.sequence(F.lit(0), n_pieces - 1)).alias("piece"))
+    pieces = pieces.select("doc_id", "rid", "source", "cluster", "piece", F.least(F.lit(capacity), F.col("size") - F.col("piece") * capacity).alias("n_tokens"), F.pmod(F.xxhash64("rid", "piece"), F.lit(n_shards)).cast("int").alias("shard"))
+    n = min(n_shards, MAX_TASKS)
+    placed = pieces.where("n_tokens > 0").repartitionById(n, F.col("shard") % n).sortWithinPartitions("shard", F.desc("n_tokens"), "doc_id", "piece", "rid")
+    some = placed.mapInPandas(_packer(capacity), OUT)
     none = pieces.where("n_tokens <= 0").select("doc_id", "piece", F.lit(0).cast("long").alias("start"), F.lit(0).alias("n_tokens"), "shard", F.lit(-1).alias("bin"), F.lit(0).alias("offset"))
     return some.unionByName(none)
+
+
+def fill(bins: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """One row: n_bins, n_tokens, fill (tokens over the room of all bins) of packed()'s result."""
+    each = bins.where("bin >= 0").groupBy("shard", "bin").agg(F.sum("n_tokens").alias("n"))
+    return each.agg(F.count(F.lit(1)).alias("n_bins"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_tokens"), (F.sum("n") / (F.count(F.lit(1)) * capacity)).alias("fill"))
