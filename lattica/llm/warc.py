@@ -1,7 +1,7 @@
 """WARC archives: a deterministic sharded writer, and a reader.
 
-Records are range-sorted by page_id into shards whose bounds come from a hash sample of the rows, so the same rows give the same
-files whatever the cluster. Each shard rolls its files by compressed size. Headers and digests are made anew. A file is written
+Records are range-sorted by page_id into shards whose bounds come from a hash sample of the rows' content, so the same rows give the
+same files whatever the cluster and the layout of the input. Each shard rolls its files by compressed size. Headers and digests are made anew. A file is written
 under a temporary name and then renamed; the manifest, itself written aside and renamed, lists the files that count.
 """
 
@@ -13,9 +13,9 @@ import hashlib
 import math
 import uuid
 import zlib
-from bisect import bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,8 +25,9 @@ from .files import Committed, opened
 
 #: Fixed values of the format.
 VERSION, PROFILE = b"WARC/1.1", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Least payload, in bytes, that is stored as a revisit; parameters: payload of a shard, compressed size at which a file ends, sample rows for each shard.
-REVISIT_BYTES, SHARD_BYTES, ROLL_BYTES, SAMPLE_PER_SHARD = 1000, 64 << 20, 16 << 20, 200
+#: Least payload, in bytes, that is stored as a revisit; parameters: payload of a shard, shards at most (larger ones beyond, each
+#: rolled into files as it is written), compressed size at which a file ends, sample rows for each shard and in all.
+REVISIT_BYTES, SHARD_BYTES, MAX_SHARDS, ROLL_BYTES, SAMPLE_PER_SHARD, SAMPLE_ROWS = 1000, 32 << 20, 20_000, 16 << 20, 200, 400_000
 DATE = "1970-01-01T00:00:00Z"
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload string, file string"
@@ -97,41 +98,72 @@ def _writer(folder: str, roll: int):
 
 
 def _sharder(bounds: list[tuple[int, int]]):
+    """Shard of (key, tie): the number of bounds at or below it, found by binary search over whole batches."""
+    keys, ties = np.array([k for k, _ in bounds], np.int64), np.array([t for _, t in bounds], np.int64)
+
     @F.pandas_udf("int")
     def shard(key: pd.Series, tie: pd.Series) -> pd.Series:
-        return pd.Series([bisect_right(bounds, x) for x in zip(key.tolist(), tie.tolist(), strict=True)], dtype="int32")
+        k, t = key.to_numpy(np.int64), tie.to_numpy(np.int64)
+        low, high = np.searchsorted(keys, k, side="left"), np.searchsorted(keys, k, side="right")
+        for i in np.flatnonzero(high > low):  # only rows that share a bound's key
+            low[i] += np.searchsorted(ties[low[i] : high[i]], t[i], side="right")
+        return pd.Series(low, dtype="int32")
 
     return shard
 
 
 def plan(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
-    """One row per page with its digest, size and part: revisit, refers_to; of equal payloads of at least `least` bytes the row with the largest page_id is the response, of repeated ids the last stored."""
-    payload = F.coalesce(F.col("html"), F.lit(""))
-    rows = located(pages).select("page_id", "url", "__file", "__row", payload.alias("payload"), F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha1(payload.cast("binary")).alias("digest"), F.xxhash64(payload).alias("also"))
+    """One row per page with its digest, size and part: revisit, refers_to.
+
+    Of equal payloads of at least `least` bytes the row with the largest page_id is the response (a null page_id is the least); of
+    repeated ids that with the largest url, of rows that are all equal the last stored.
+    """
+    payload = F.coalesce(F.col("row.html"), F.lit(""))
+    rows = located(pages.select("page_id", "url", "html")).select("row.page_id", "row.url", "file", "at", payload.alias("payload"), F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha1(payload.cast("binary")).alias("digest"), F.xxhash64(payload).alias("also"))
     key = ["digest", "also", "payload_bytes"]
-    equal = rows.where(F.col("payload_bytes") >= least).groupBy(*key).agg(F.max(F.struct("page_id", "__file", "__row")).alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1").select(*key, "best")
+    equal = rows.where(F.col("payload_bytes") >= least).groupBy(*key).agg(F.max(F.struct("page_id", "url", "file", "at")).alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1").select(*key, "best")
     marked = rows.join(small(written(equal, "equal"), 250), key, "left")
-    revisit = F.coalesce((F.col("best.__file") != F.col("__file")) | (F.col("best.__row") != F.col("__row")), F.lit(False))
+    revisit = F.coalesce((F.col("best.file") != F.col("file")) | (F.col("best.at") != F.col("at")), F.lit(False))
     return marked.withColumns({"revisit": revisit, "refers_to": F.when(revisit, F.col("best.page_id")), "payload": F.when(~revisit, F.col("payload"))}).drop("best", "also")
 
 
+def _order():
+    """Sort key of a record, and a tie of its content alone, so that the place of a row in the input doesn't matter."""
+    return F.coalesce("page_id", F.lit(-(1 << 63))), F.xxhash64("page_id", "url", F.sha1(F.coalesce("html", F.lit("")).cast("binary")))
+
+
+def bounds_of(pages: DataFrame, n_shards: int, n_rows: int) -> list[tuple[int, int]]:
+    """Up to n_shards - 1 bounds (key, tie) that cut the payload bytes about evenly, from a hash sample of at most about SAMPLE_ROWS rows."""
+    if n_shards < 2:
+        return []
+    k, t = _order()
+    keys = pages.select(k.alias("k"), t.alias("t"), (F.coalesce(F.octet_length("html"), F.lit(0)) + 500).alias("w"))
+    share = min(1.0, min(SAMPLE_PER_SHARD * n_shards, SAMPLE_ROWS) / max(n_rows, 1))
+    picked = keys.where(F.shiftrightunsigned(F.xxhash64("k", "t"), 1).cast("double") / float(1 << 63) < share)
+    sample = sorted((r.k, r.t, r.w) for r in picked.dropDuplicates(["k", "t"]).collect())
+    total = np.cumsum([w for *_, w in sample]) if sample else np.zeros(0)
+    if not len(total):
+        return []
+    at = np.searchsorted(total, total[-1] * np.arange(1, n_shards) / n_shards)
+    return [sample[i][:2] for i in sorted(set(at.tolist()))]
+
+
 def write(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES) -> DataFrame:
     """Writes the archives and returns the manifest: file, shard, nth, n_records, n_bytes.
 
-    Null html is an empty payload, a null url a urn; a null page_id sorts first and has no id header. Columns other than page_id, url and html aren't read.
+    Null html is an empty payload, a null url a urn; a null page_id sorts first and has no id header. Repeated rows are records of
+    their own, numbered in their ids. Payloads of any length are one record, streamed one at a time. An empty table writes an empty
+    manifest and no archive. Columns other than page_id, url and html aren't read, whatever their names.
     """
     spark = pages.sparkSession
+    pages = pages.select("page_id", "url", "html")
     size = pages.agg(F.sum(F.octet_length("html")).alias("b"), F.count(F.lit(1)).alias("n")).first()
-    n_shards = max(1, math.ceil((size.b or 0) / shard_bytes))
-    order = F.coalesce("page_id", F.lit(-(1 << 63)))
-    tie = F.xxhash64("page_id", "__row")
-    keys = located(pages.select("page_id", "url", "html")).select(order.alias("k"), tie.alias("t"))
-    share = min(1.0, SAMPLE_PER_SHARD * n_shards / max(size.n, 1))
-    sample = sorted((r.k, r.t) for r in keys.where(F.pmod(F.xxhash64("k", "t"), F.lit(1_000_000)) < share * 1_000_000).collect()) if n_shards > 1 else []
-    bounds = sorted({sample[len(sample) * i // n_shards] for i in range(1, n_shards)}) if sample else []
-    planned = plan(pages)
-    sharded = planned.withColumns({"key": order, "tie": tie}).withColumn("shard", _sharder(bounds)("key", "tie"))
-    placed = sharded.repartition(min(n_shards, 20_000), "shard").sortWithinPartitions("shard", "key", "tie", "digest")
+    bounds = bounds_of(pages, min(MAX_SHARDS, math.ceil((size.b or 0) / shard_bytes)), size.n)
+    order, _ = _order()
+    # the payload of a revisit is gone by now; its digest tells as much
+    keyed = plan(pages).withColumns({"key": order, "tie": F.xxhash64("page_id", "url", "digest")})
+    n = len(bounds) + 1
+    placed = keyed.withColumn("shard", _sharder(bounds)("key", "tie")).repartitionById(n, "shard").sortWithinPartitions("shard", "key", "tie", "digest", "revisit")
     listed = placed.select("shard", "page_id", "url", "payload", "payload_bytes", "digest", "revisit", "refers_to").mapInPandas(_writer(folder, roll_bytes), "file string, shard int, nth int, n_records long, n_bytes long")
     listed.write.parquet(f"{folder}/_manifest.tmp")
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
@@ -208,11 +240,12 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
 def read(spark: SparkSession, folder: str, with_payload: bool = True) -> DataFrame:
     """The records of the files that the manifest lists."""
     files = spark.read.parquet(f"{folder}/_manifest").select("file")
-    n = max(1, min(files.count(), 20_000))
-    return files.repartition(n, "file").mapInPandas(_reader(folder, with_payload), RECORD)
+    n = max(1, min(files.count(), MAX_SHARDS))
+    return files.repartition(n).mapInPandas(_reader(folder, with_payload), RECORD)
 
 
 def round_trip(pages: DataFrame, folder: str | None = None) -> DataFrame:
+    """Writes the archives and reads their records back, without payloads; edge cases as in write()."""
     folder = folder or scratch(pages.sparkSession, "warc")
     write(pages, folder)
     return read(pages.sparkSession, folder, with_payload=False)
