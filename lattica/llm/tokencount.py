@@ -8,6 +8,7 @@ comparison, and stitches documents across blocks by a prefix scan over the block
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,13 +18,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import scratch
+from .common import scratch, written
 from .files import Committed, opened
 
 #: Parameters: vocabulary file (token in base64, rank), its splitting pattern and end-of-document id; tokens of a block; bytes at which a file ends.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 END, BLOCK_TOKENS, ROLL_BYTES = 50256, 1 << 20, 64 << 20
+#: Runs of the pattern's white space that are encoded apart.
+LONG_BLANK = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1000,}")
 
 
 def id_type(end: int) -> np.dtype:
@@ -31,10 +34,26 @@ def id_type(end: int) -> np.dtype:
 
 
 def encoder(vocabulary: bytes, pattern: str = PATTERN):
+    """A function from text to ids. Long runs of white space, on which the pattern's look-ahead would exhaust the matcher's stack, are
+    cut out first at the places where the pattern cuts them: all but the last character of a run are one piece, and the last one
+    goes with what follows (the whole run is one piece at the end of a text)."""
     import tiktoken
 
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
-    return tiktoken.Encoding("flat", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    inner = tiktoken.Encoding("flat", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(text: str) -> list[int]:
+        if LONG_BLANK.search(text) is None:
+            return inner.encode_ordinary(text)
+        ids, at = [], 0
+        for m in LONG_BLANK.finditer(text):
+            end = m.end() if m.end() == len(text) else m.end() - 1
+            ids += inner.encode_ordinary(text[at : m.start()])
+            ids += inner._encode_single_piece(text[m.start() : end])
+            at = end
+        return ids + inner.encode_ordinary(text[at:])
+
+    return encode
 
 
 def _writer(folder: str, vocabulary, pattern: str, end: int, roll: int):
@@ -78,23 +97,28 @@ def _scanner(folder: str, end: int):
             for r in pdf.itertuples(index=False):
                 with fs.open_input_file(f"{root}/{r.file}") as f:
                     ids = np.frombuffer(f.read_at(int(r.length) * kind.itemsize, int(r.first) * kind.itemsize), kind)
-                yield pd.DataFrame({"file": r.file, "block": r.block, "ends": [(np.flatnonzero(ids == end) + r.first).astype(np.int64)]})
+                ends = np.flatnonzero(ids == end).astype(np.int64) + int(r.first)
+                yield pd.DataFrame({"file": r.file, "block": r.block, "n": np.int64(len(ends)), "last": pd.array([ends[-1] if len(ends) else None], "Int64"), "ends": [ends]})
 
     return scan
 
 
 def count(spark: SparkSession, folder: str, files: DataFrame, end: int = END, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """Documents of flat files (file, n_tokens with separators): file, nth, start, n_tokens. Tokens after a file's last separator are a document of their own."""
+    """Documents of flat files (file, n_tokens with separators): file, nth, start, n_tokens. Tokens after a file's last separator are a document of their own.
+
+    The files are scanned once, into a table of the blocks' separators. The prefix scan runs over one small row for each block.
+    """
     blocks = files.where("n_tokens > 0").select("file", F.col("n_tokens").alias("size"), F.explode(F.expr(f"sequence(0L, (n_tokens - 1) div {block_tokens})")).alias("block"))
     blocks = blocks.select("file", "block", (F.col("block") * block_tokens).alias("first"), F.least(F.lit(block_tokens).cast("long"), F.col("size") - F.col("block") * block_tokens).alias("length"))
     n = max(1, min(20_000, blocks.count() // 4 + 1))
-    found = blocks.repartition(n, "file", "block").mapInPandas(_scanner(folder, end), "file string, block long, ends array<long>")
+    found = written(blocks.repartition(n).mapInPandas(_scanner(folder, end), "file string, block long, n long, last long, ends array<long>"), "token-ends")
     before = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    stitched = found.withColumns({"nth0": F.coalesce(F.sum(F.size("ends")).over(before), F.lit(0)), "open": F.coalesce(F.max(F.array_max("ends")).over(before), F.lit(-1))})
-    each = stitched.select("file", "nth0", "open", "ends", F.posexplode("ends").alias("i", "at"))
+    small_rows = found.select("file", "block", "n", "last")
+    stitched = small_rows.select("file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("nth0"), F.coalesce(F.max("last").over(before), F.lit(-1)).alias("open"))
+    each = found.where("n > 0").select("file", "block", "ends").join(stitched, ["file", "block"]).select("file", "nth0", "open", "ends", F.posexplode("ends").alias("i", "at"))
     start = F.when(F.col("i") == 0, F.col("open")).otherwise(F.expr("ends[i - 1]")) + 1
     closed = each.select("file", (F.col("nth0") + F.col("i")).alias("nth"), start.alias("start"), (F.col("at") - start).alias("n_tokens"))
-    last = found.groupBy("file").agg(F.max(F.array_max("ends")).alias("at"), F.sum(F.size("ends")).alias("nth")).join(files, "file")
+    last = small_rows.groupBy("file").agg(F.max("last").alias("at"), F.sum("n").alias("nth")).join(files, "file")
     start = F.coalesce(F.col("at"), F.lit(-1)) + 1
     rest = last.where(start < F.col("n_tokens")).select("file", "nth", start.alias("start"), (F.col("n_tokens") - start).alias("n_tokens"))
     return closed.unionByName(rest)
@@ -115,9 +139,11 @@ def listed(spark: SparkSession, folder: str, end: int = END) -> DataFrame:
 def counted(docs: DataFrame, folder: str | None = None, vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id, n_tokens, file, nth, start of each row of docs: writes the token files, then counts them by scan.
 
-    Repeated rows are documents of their own; extra columns aren't read; an empty table gives no file and no row.
+    Null and empty texts have no tokens; texts of any length are encoded whole. Repeated rows, and rows that tie in doc_id, are
+    documents of their own. An empty table gives no file and no row. Columns other than doc_id and text aren't read, whatever their
+    names. Both sides of the join grow with the documents, so it is always a sort-merge join.
     """
     spark = docs.sparkSession
     folder = folder or scratch(spark, "tokens")
     order = write(docs, folder, vocabulary)
-    return order.join(count(spark, folder, listed(spark, folder)), ["file", "nth"]).select("doc_id", "n_tokens", "file", "nth", "start")
+    return order.hint("merge").join(count(spark, folder, listed(spark, folder)), ["file", "nth"]).select("doc_id", "n_tokens", "file", "nth", "start")
