@@ -1,7 +1,7 @@
 """Personal data: fixed base patterns, and a linear-chain conditional random field over word shapes.
 
-The field learns from a small labelled table that `labelled_table` makes, and is decoded by Viterbi over batches of lines of
-about equal length. Its spans are added where no base span lies; base spans always stay.
+The field learns from a small labelled table that `labelled_table` makes, and is decoded by Viterbi over all lines of a
+block of texts at once. Its spans are added where no base span lies; base spans always stay.
 """
 
 from __future__ import annotations
@@ -27,12 +27,14 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 KINDS = (*BASE, "secret")
-#: A decoded span holds a digit or an at sign, plain or in brackets.
-_EVIDENT = re.compile(r"[0-9@]|[\[({]at[\])}]")
-LABELS = ("O", *KINDS)
+#: Labels: begin and inside of each kind.
+LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
+_AT = re.compile(r"@|[\[({<] ?at ?[\])}>]", re.IGNORECASE)
+#: Marks that a decoded span neither begins nor ends with.
+_BEFORE, _AFTER = frozenset(".,;:!?\"'([{<#*&%$|"), frozenset(".,;:!?\"')]}>#*&%$|")
 
 #: Parameters: feature buckets; sentences of the labelled table; training steps.
-BUCKETS, SENTENCES, STEPS, RATE, SEED = 1 << 12, 900, 60, 0.3, 5
+BUCKETS, SENTENCES, STEPS, RATE, SEED = 1 << 12, 1500, 60, 0.3, 5
 
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
@@ -80,7 +82,7 @@ for _c in range(0x300):
     _ch = chr(_c)
     _SHAPE[_c] = 0 if _c < 33 or _ch.isspace() else 1 if _ch.islower() else 2 if _ch.isupper() else 3 if _c < 128 and _ch.isdigit() else 4 + "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~".index(_ch) if _c < 127 else 1 if _ch.isalpha() else 40
 _WIDE_SPACES = [0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
-N_FEATURES = 8
+N_FEATURES = 9
 
 
 class Words:
@@ -125,7 +127,8 @@ class Words:
         left = np.where(before, 1, np.r_[0, kind[:-1]])
         right = np.where(after, 2, np.r_[kind[1:], 0])
         word_left = np.where(before | ~np.r_[False, plain[:-1] | (size[:-1] <= 10)], 3, np.r_[0, known[:-1]])
-        self.features = np.stack([shape, counts, hexes, ends, known, (left * 31 + 7) % BUCKETS, (right * 37 + 11) % BUCKETS, (word_left * 41 + 13) % BUCKETS], 1)
+        word_right = np.where(after | ~np.r_[plain[1:] | (size[1:] <= 10), False], 4, np.r_[known[1:], 0])
+        self.features = np.stack([shape, counts, hexes, ends, known, (left * 31 + 7) % BUCKETS, (right * 37 + 11) % BUCKETS, (word_left * 41 + 13) % BUCKETS, (word_right * 43 + 17) % BUCKETS], 1)
 
     @staticmethod
     def _bucket(salt: int, x: np.ndarray) -> np.ndarray:
@@ -152,64 +155,137 @@ class Model:
     def labels(self, words: Words) -> np.ndarray:
         return viterbi(self.emission(words.features), words.first, self.trans, self.start)
 
-    def added(self, texts: list[str]) -> list[list[tuple[str, int, int]]]:
-        """Decoded spans of each text: runs of words of one label, without marks around them."""
+    def added(self, texts: list[str], base: list[list[tuple[str, int, int]]] | None = None) -> list[list[tuple[str, int, int]]]:
+        """Decoded spans of each text: a begin label and the inside labels after it, less the words that touch one of the text's base
+        spans, without marks around what is left, if that can be of the kind."""
         words = Words(texts)
         out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
         y = self.labels(words)
         hit = np.flatnonzero(y)
         if not len(hit):
             return out
-        new = np.r_[True, (np.diff(hit) > 1) | (y[hit[1:]] != y[hit[:-1]]) | words.first[hit[1:]]]
-        begin = hit[new]
-        last = hit[np.r_[np.flatnonzero(new)[1:] - 1, len(hit) - 1]]
-        for a, b in zip(begin, last, strict=True):
-            doc = int(words.doc[a])
-            base = int(words.block.starts[doc])
-            s, e = int(words.start[a]) - base, int(words.end[b]) - base
-            text = texts[doc]
-            while s < e and text[s] in ".,;:!?\"'([{<":
-                s += 1
-            while e > s and text[e - 1] in ".,;:!?\"')]}>":
-                e -= 1
-            if _EVIDENT.search(text, s, e):
-                out[doc].append((LABELS[y[a]], s, e))
+        kind, begins = (y[hit] - 1) // 2, y[hit] % 2 == 1
+        doc = words.doc[hit]
+        offset = words.block.starts[doc]
+        start, end = words.start[hit] - offset, words.end[hit] - offset
+        new = begins | np.r_[True, (np.diff(hit) > 1) | (kind[1:] != kind[:-1]) | words.first[hit[1:]]]
+        if base is not None:
+            free = np.array([not any(s < e1 and s1 < e for _, s1, e1 in base[d]) for d, s, e in zip(doc.tolist(), start.tolist(), end.tolist(), strict=True)])
+            new[1:] |= ~free[:-1]
+        else:
+            free = np.ones(len(hit), bool)
+        run = np.cumsum(new)[free]
+        if not len(run):
+            return out
+        doc, kind, start, end = doc[free], kind[free], start[free], end[free]
+        at = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
+        for i, j in zip(at.tolist(), [*at[1:].tolist(), len(run)], strict=True):
+            d, k = int(doc[i]), KINDS[kind[i]]
+            span = trimmed(texts[d], int(start[i]), int(end[j - 1]))
+            if evident(k, texts[d][span[0] : span[1]]):
+                out[d].append((k, *span))
         return out
 
 
+def trimmed(text: str, s: int, e: int) -> tuple[int, int]:
+    while s < e and text[s] in _BEFORE and not (text[s] == "(" and text.find(")", s, e) > 0):
+        s += 1
+    while e > s and text[e - 1] in _AFTER and not (text[e - 1] == ")" and text.find("(", s, e) >= 0):
+        e -= 1
+    return s, e
+
+
+def evident(kind: str, found: str) -> bool:
+    """Whether a decoded span can be of its kind: an at sign and a dot, four parts of at most 255, a Luhn number, 7 to 15 digits, or a long value with a digit."""
+    digits = "".join(c for c in found if "0" <= c <= "9")
+    if kind == "email":
+        m = _AT.search(found)
+        return m is not None and m.start() > 0 and "." in found[m.end() : -1]
+    if kind == "ip":
+        parts = re.findall("[0-9]+", found)
+        return len(parts) >= 4 and all(len(x) <= 3 and int(x) <= 255 for x in parts[:4])
+    if kind == "card":
+        return 13 <= len(digits) <= 19 and luhn(digits)
+    if kind == "phone":
+        return 7 <= len(digits) <= 15
+    return len(found) >= 8 and bool(digits)
+
+
+#: Words of a segment of a chain that is decoded side by side with all others.
+SEGMENT = 32
+
+
 def viterbi(emission: np.ndarray, first: np.ndarray, trans: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Best labels of chains in one array; chains of about equal length are decoded together."""
+    """Best labels of chains in one array (first marks where a chain begins).
+
+    Chains are cut into segments, which are all decoded at once from guessed entry scores; then those whose entry scores differ from
+    what the segment before them gave are decoded again, until none does. The scores of a chain's first segment are right at once,
+    so by induction all are in the end. Back pointers of segments are followed for every label at once, and then chained.
+    """
     n, k = emission.shape
     y = np.zeros(n, np.int64)
     if not n:
         return y
-    begin = np.flatnonzero(first)
-    length = np.diff(np.r_[begin, n])
-    size = np.ceil(np.log2(length)).astype(int)
-    for s in np.unique(size):
-        rows = np.flatnonzero(size == s)
-        for at in range(0, len(rows), max(1, 200_000 >> s)):
-            chunk = rows[at : at + max(1, 200_000 >> s)]
-            b, m = begin[chunk], length[chunk]
-            steps = int(m.max())
-            score = emission[b] + start
-            back = np.zeros((steps, len(chunk), k), np.int8)
-            for i in range(1, steps):
-                live = m > i
-                through = score[:, :, None] + trans
-                best = through.argmax(1)
-                nxt = np.take_along_axis(through, best[:, None, :], 1)[:, 0] + emission[np.minimum(b + i, n - 1)]
-                back[i] = np.where(live[:, None], best, np.arange(k))
-                score = np.where(live[:, None], nxt, score)
-            now = score.argmax(1)
-            for i in range(steps - 1, -1, -1):
-                live = m > i
-                y[b[live] + i] = now[live]
-                if i:
-                    now = back[i, np.arange(len(chunk)), now]
+    chain = np.flatnonzero(first)
+    length = np.diff(np.r_[chain, n])
+    pieces = -(-length // SEGMENT)
+    nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    begin = np.repeat(chain, pieces) + nth * SEGMENT
+    size = np.diff(np.r_[begin, n])
+    opens = nth == 0
+    back = np.zeros((n, k), np.int8)
+    enter, leave = np.zeros((len(begin), k)), np.zeros((len(begin), k))
+    todo = np.arange(len(begin))
+    while len(todo):
+        todo = todo[np.argsort(-size[todo], kind="stable")]  # those that have an i-th word come first
+        b, m = begin[todo], size[todo]
+        score, arg = _step_on(enter[todo], trans)
+        back[b] = arg
+        score = np.where(opens[todo, None], start, score) + emission[b]
+        for i in range(1, int(m[0])):
+            live = int(np.searchsorted(-m, -i))
+            best, arg = _step_on(score[:live], trans)
+            score[:live] = best + emission[b[:live] + i]
+            back[b[:live] + i] = arg
+        leave[todo] = score - score.max(1, keepdims=True)
+        given = np.vstack([np.zeros((1, k)), leave[:-1]])
+        given[opens] = 0
+        todo = np.flatnonzero((given != enter).any(1))
+        enter = given
+    order = np.argsort(-size, kind="stable")
+    b, m = begin[order], size[order]
+    origin = np.tile(np.arange(k), (len(b), 1))  # label of a segment's first word, then of the word before it, for each label of its last
+    for i in range(int(m[0]) - 1, -1, -1):
+        live = int(np.searchsorted(-m, -i))
+        origin[:live] = np.take_along_axis(back[b[:live] + i], origin[:live], 1)
+    came = np.empty_like(origin)
+    came[order] = origin
+    last, ends = leave.argmax(1), np.zeros(len(begin), np.int64)
+    closes = np.r_[opens[1:], True]
+    now = 0
+    for j in range(len(begin) - 1, -1, -1):
+        now = int(last[j]) if closes[j] else now
+        ends[j] = now
+        now = int(came[j, now])
+    now = ends[order]
+    for i in range(int(m[0]) - 1, -1, -1):
+        live = int(np.searchsorted(-m, -i))
+        y[b[:live] + i] = now[:live]
+        now[:live] = back[b[:live] + i, now[:live]]
     return y
 
 
+def _step_on(score: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Best score of each next label, and the label before it (the least of equal ones)."""
+    best = score[:, :1] + trans[0]
+    arg = np.zeros(best.shape, np.int8)
+    for a in range(1, len(trans)):
+        other = score[:, a : a + 1] + trans[a]
+        arg[other > best] = a
+        np.maximum(best, other, out=best)
+    return best, arg
+
+
 def labelled_table(sentences: int = SENTENCES, seed: int = SEED) -> list[list[tuple[str, str]]]:
     """The small labelled table: sentences of (word, label), made from templates; many hold numbers that are no personal data."""
     r = np.random.default_rng(seed)
@@ -231,7 +307,7 @@ def labelled_table(sentences: int = SENTENCES, seed: int = SEED) -> list[list[tu
         local, host = letters(3, 9) + pick(["", "."]) + digits(int(r.integers(0, 3))), letters(3, 8) + "." + pick(["com", "org", "net"])
         p1, p2, p3 = digits(3), digits(3), digits(4)
         return [
-            ("email", [f"{local}@{host}"]), ("email", [f"<{local}@{host}>"]), ("email", [local, "(at)", host]), ("email", [local, "[at]", host]), ("email", [local + "(at)" + host]),
+            ("email", [f"{local}@{host}"]), ("email", [f"<{local}@{host}>"]), ("email", [local, pick(["(at)", "[at]", "{at}", "(AT)", "<at>"]), host]), ("email", [local, pick(["(at)", "[at]"]), host]), ("email", [local + pick(["(at)", "[at]"]) + host]),
             ("phone", [f"+1", f"({p1})", f"{p2}-{p3}"]), ("phone", [f"({p1})", f"{p2}-{p3}"]), ("phone", [f"{p1}-{p2}-{p3}"]), ("phone", [f"{p1}.{p2}.{p3}"]), ("phone", [f"+{digits(2)}", p1, p2, p3]), ("phone", [f"+{digits(11)}"]),
             ("ip", [".".join(str(int(x)) for x in r.integers(1, 256, 4))]), ("ip", [".".join(str(int(x)) for x in r.integers(1, 256, 4)) + ":8080"]),
             ("card", [pick("345") + digits(15)]), ("card", [pick("345") + digits(3), digits(4), digits(4), digits(4)]), ("card", ["-".join([pick("345") + digits(3), digits(4), digits(4), digits(4)])]),
@@ -250,7 +326,11 @@ def labelled_table(sentences: int = SENTENCES, seed: int = SEED) -> list[list[tu
                 if kind == "secret" and ws[0].startswith('"'):
                     sentence += [(pick(["token", "key", "secret"]), "O"), ("=", "O")]
                 end = pick(["", "", "", ".", ","])
-                sentence += [(w + (end if i == len(ws) - 1 else ""), kind) for i, w in enumerate(ws)]
+                sentence += [(w + (end if i == len(ws) - 1 else ""), f"{'I' if i else 'B'}-{kind}") for i, w in enumerate(ws)]
+                if r.random() < 0.2:  # a neighbour, of the same kind half the time
+                    near = [x for x in personal() if x[0] == kind] if r.random() < 0.5 else personal()
+                    kind, ws = pick(near)
+                    sentence += [(w, f"{'I' if i else 'B'}-{kind}") for i, w in enumerate(ws)]
         sentence += [(word(), "O") for _ in range(int(r.integers(0, 6)))]
         if r.random() < 0.1:
             sentence += [(word(), "O")] * int(r.integers(2, 12))
@@ -292,22 +372,17 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
 
 
 def all_spans(base: list[tuple[str, int, int]], added: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Base spans and those added ones that overlap none, by kind, then start."""
-    taken = sorted((s, e) for _, s, e in base)
-    starts = [s for s, _ in taken]
-    ends = np.maximum.accumulate([e for _, e in taken]) if taken else []
-
-    def free(s, e):
-        i = int(np.searchsorted(starts, e)) if taken else 0
-        return i == 0 or ends[i - 1] <= s
-
-    return sorted(base + [x for x in added if free(x[1], x[2])], key=lambda x: (KINDS.index(x[0]), x[1], x[2]))
+    """Both, by kind, then start; added ones overlap none of the base."""
+    return sorted(base + added, key=lambda x: (KINDS.index(x[0]), x[1], x[2]))
 
 
 def found(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """docs with pii: counts of base kinds, base_sha256, spans (text form) of each whole text.
 
-    Null and empty texts have no spans. A column named pii is replaced; others stay.
+    Null and empty texts have no spans. A base span always stays; a decoded one loses the words that touch a base span, and what is
+    left of it overlaps no other. Decoded spans that stand side by side are told apart by their begin labels; labels that tie go to
+    the first of LABELS. Repeated rows get equal spans; an empty table gives an empty one. A text longer than a block is a block of
+    its own, at some 150 bytes of memory a character. A column named pii is replaced, others stay.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model or default_model())
 
@@ -317,10 +392,11 @@ def found(docs: DataFrame, model: Model | None = None) -> DataFrame:
             values = [t if isinstance(t, str) else "" for t in texts]
             out = []
             for a, b in slices(values, BLOCK_CHARS):
-                for text, added in zip(values[a:b], shared.value.added(values[a:b]), strict=True):
-                    base = base_spans(text)
+                bases = [base_spans(t) for t in values[a:b]]
+                for base, added in zip(bases, shared.value.added(values[a:b], bases), strict=True):
                     kinds = [x[0] for x in base]
                     out.append((*(kinds.count(x) for x in BASE), hashlib.sha256(joined(base).encode()).hexdigest(), joined(all_spans(base, added))))
             yield pd.DataFrame(out, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
 
-    return docs.withColumn("pii", find(F.col("text")))
+    rest = [c for c in docs.columns if c != "pii"]
+    return docs.select(*[docs[f"`{c}`"] for c in rest], find(docs["text"]).alias("pii"))
