@@ -1,11 +1,12 @@
 """Benchmark decontamination: one Aho-Corasick automaton over normalised windows of all items, each text scanned once.
 
-Beyond PATTERN_CHARS of patterns the windows are dealt into several automata, each with its own scan, so that a worker's
-automaton has a bounded size; no window is dropped.
+A worker builds the automaton once. Beyond PATTERN_CHARS of patterns (about 200,000 characters of items), the items are dealt into
+several automata, each with a scan of its own, so that neither the driver nor a worker ever holds more; no window is dropped.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
@@ -15,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import located, written
+from .common import located, scratch
 
 #: Word characters after A-Z are lower-cased, and the words of a window.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -98,10 +99,23 @@ def _span_rows(text: str | None, runs: list[tuple[int, int]]) -> list[dict]:
     return [{"start": s, "until": e} for s, e in original_spans(text, runs)] if runs else []
 
 
+#: Of this worker: the automaton that it built last, under the name of its pattern set.
+_BUILT: dict[str, object] = {}
+
+
+def _automaton(name: str, patterns):
+    if name not in _BUILT:
+        _BUILT.clear()
+        _BUILT[name] = automaton(patterns.value)
+    return _BUILT[name]
+
+
 def _scanner(bound):
+    name = uuid.uuid4().hex
+
     @F.pandas_udf(f"n_words long, runs {RUNS}, spans {SPANS}, items array<string>")
     def scanned(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        a = automaton(bound.value)
+        a = _automaton(name, bound)
         for texts in batches:
             out = []
             for t in texts:
@@ -112,30 +126,59 @@ def _scanner(bound):
     return scanned
 
 
+def _item_groups(benchmark: DataFrame, size: int, chars: int) -> Iterator[list[tuple[object, str | None]]]:
+    """The items in groups of about `chars` pattern characters at most, of which the driver holds one at a time. A window repeats a word at most size times."""
+    items = benchmark.select("item_id", "text")
+    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    n = max(1, -(-total * size // chars))
+    for g in range(n):
+        part = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == g)
+        yield [(r.item_id, r.text) for r in part.collect()]
+
+
 def find(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, chars: int = PATTERN_CHARS) -> DataFrame:
     """docs with a column hit: n_words, runs of hit words, their spans in the original text, sorted ids of the items found.
 
-    Null and empty texts have no words. An item without words has no window. A column named hit is replaced.
+    Null and empty texts have no words; an item without words has no window, and neither has an empty benchmark. Texts are scanned
+    whole at any length, one at a time. Windows that several items share count for each of them; repeated items and rows change
+    nothing. An empty table gives an empty table. A column named hit is replaced, others stay.
     """
     spark = docs.sparkSession
-    items = [(r.item_id, r.text) for r in benchmark.select("item_id", "text").toLocalIterator()]
-    sets = [spark.sparkContext.broadcast(s) for s in pattern_sets(items, size, chars)]
-    if len(sets) == 1:
-        return docs.withColumn("hit", _scanner(sets[0])("text"))
-    rows = located(docs)
-    found = None
-    for part in sets:
-        one = rows.select("__file", "__row", _scanner(part)("text").alias("h"))
-        found = one if found is None else found.unionByName(one)
-    union = found.groupBy("__file", "__row").agg(F.max("h.n_words").alias("n_words"), F.flatten(F.collect_list("h.runs")).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("h.items")))).alias("items"))
-    union = written(union.select("__file", "__row", "n_words", _merged("runs").alias("runs"), "items"), "hits")  # at most one row for each set and text
-
-    @F.pandas_udf(SPANS)
-    def spans(texts: pd.Series, runs: pd.Series) -> pd.Series:
-        return pd.Series([_span_rows(t, [(x["first"], x["until"]) for x in r]) for t, r in zip(texts, runs, strict=True)], dtype=object)
-
-    out = rows.drop("hit").join(union, ["__file", "__row"]).withColumn("hit", F.struct("n_words", "runs", spans("text", "runs").alias("spans"), "items"))
-    return out.select(*[f"`{c}`" for c in docs.columns if c != "hit"], "hit")
+    given = [c for c in docs.columns if c != "hit"]
+    first, rows, folder = None, None, None
+    n_sets = 0
+    for items in _item_groups(benchmark, size, chars):
+        for patterns in pattern_sets(items, size, chars):
+            if first is None:  # the only set of all but very large benchmarks
+                first = patterns
+                continue
+            if folder is None:
+                rows, folder = located(docs), scratch(spark, "hits")
+                _pass(rows, spark.sparkContext.broadcast(first), f"{folder}/s0")
+            n_sets += 1
+            _pass(rows, spark.sparkContext.broadcast(patterns), f"{folder}/s{n_sets}")
+    if folder is None:
+        shared = spark.sparkContext.broadcast(first or {})
+        return docs.select(*[docs[f"`{c}`"] for c in given], _scanner(shared)(docs["text"]).alias("hit"))
+    found = spark.read.schema(f"file string, at long, runs {RUNS}, items array<string>").parquet(f"{folder}/*")
+    union = found.groupBy("file", "at").agg(F.flatten(F.collect_list("runs")).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    union = union.select("file", "at", _merged("runs").alias("runs"), "items")  # at most one row for each set and text
+
+    @F.pandas_udf(f"n_words long, spans {SPANS}")
+    def spans(texts: pd.Series, runs: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([(len(words(t)), _span_rows(t, [(x["first"], x["until"]) for x in r])) for t, r in zip(texts, runs, strict=True)], columns=["n_words", "spans"])
+
+    none = F.expr(f"cast(array() as {RUNS.replace('long', 'bigint')})")
+    out = rows.join(union, ["file", "at"], "left").select("row", F.coalesce("runs", none).alias("runs"), F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items"))
+    out = out.withColumn("w", spans("row.text", "runs"))
+    return out.select(*[F.col("row").getField(c).alias(c) for c in given], F.struct("w.n_words", "runs", "w.spans", "items").alias("hit"))
+
+
+def _pass(rows: DataFrame, patterns, out: str) -> None:
+    """One scan of all texts for one pattern set; only texts with a hit are written."""
+    found = rows.select("file", "at", _scanner(patterns)("row.text").alias("h"))
+    found.where(F.size("h.items") > 0).select("file", "at", "h.runs", "h.items").write.parquet(out)
+    patterns.unpersist()
 
 
 def _merged(runs: str):
