@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Largest side, in rows times an estimated row width, that an operator broadcasts.
@@ -31,6 +31,7 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
+    """Deletes an intermediate folder that nothing reads any more."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
@@ -57,24 +58,35 @@ def held_out(doc_id, folds: int, fold: int):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
-def label_sample(rows: DataFrame, label: str, per_label: int, max_labels: int = 64) -> DataFrame:
-    """A bounded, repeatable sample of labelled rows: about per_label rows of each of the most frequent max_labels labels.
+def label_sample(rows: DataFrame, label: str, per_label: int, key: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """A repeatable sample of labelled rows: about per_label rows of every label, all of a label that has fewer.
 
-    Rows are chosen by a hash of doc_id under a threshold that the label's count fixes, so no task sends more than its share.
+    Rows are chosen by a 63-bit hash of `key` below a share that the label's count fixes, so no task sends more than its part and
+    the expected size stays the same whatever the table's size. Rows that repeat the key stand or fall together.
     """
-    n = rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(max_labels)
-    share = n.select(F.col(label).alias("_l"), (F.lit(per_label * 1_000_000.0) / F.col("count")).alias("_t"))
-    key = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("sample")), F.lit(1_000_000))
-    return rows.join(F.broadcast(share), rows[label] == F.col("_l")).where(key < F.col("_t")).drop("_l", "_t")
+    n = rows.groupBy(label).count()
+    share = written(n.select(F.col(label).alias("_l"), (F.lit(float(per_label)) / F.col("count")).alias("_t")), "label-shares")
+    at = F.shiftrightunsigned(F.xxhash64(*key, F.lit("sample")), 1).cast("double") / float(1 << 63)
+    return rows.join(small(share, 64), rows[label] == F.col("_l")).where(at < F.col("_t")).drop("_l", "_t")
+
+
+def cut(text: Column, chars: int, pieces: int = 8) -> Column:
+    """A text of at most about `chars` characters to learn from: the whole text, or evenly spaced pieces from its start to its end."""
+    one = chars // pieces
+    n = F.length(text)
+    spaced = F.transform(F.sequence(F.lit(0), F.lit(pieces - 1)), lambda i: F.substring(text, (F.lit(1) + F.floor(i * (n - one) / (pieces - 1))).cast("int"), F.lit(one)))
+    return F.when(n > chars, F.array_join(spaced, "\n")).otherwise(text)
 
 
 def located(docs: DataFrame) -> DataFrame:
-    """docs with __file and __row, which identify a stored row; rows that come from no file are first written to the shared folder."""
-    if {"__file", "__row"} <= set(docs.columns):
-        return docs
+    """Rows of docs as a struct `row`, with file and at, which identify a stored row. Nothing of docs can clash with these names.
+
+    Rows that come from no file are first written to the shared folder.
+    """
+    given = F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row") if docs.columns else F.struct(F.lit(None).alias("none")).alias("row")
     try:
         meta = docs.metadataColumn("_metadata")
-        out = docs.withColumns({"__file": meta["file_path"], "__row": meta["row_index"]})
+        out = docs.select(given, meta["file_path"].alias("file"), meta["row_index"].alias("at"))
         out.schema  # noqa: B018  analysis happens here
         return out
     except AnalysisException:  # a source without file metadata
@@ -82,6 +94,5 @@ def located(docs: DataFrame) -> DataFrame:
 
 
 def without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
-    """rows (located) without those that dropped (__file, __row) names, and without these two columns."""
-    left = rows.join(small(written(dropped, "dropped"), 160), ["__file", "__row"], "left_anti")
-    return left.select(*[left[f"`{c}`"] for c in rows.columns if c not in ("__file", "__row")])
+    """The original rows of a located table without those that dropped (file, at) names."""
+    return rows.join(small(written(dropped, "dropped"), 160), ["file", "at"], "left_anti").select("row.*")

@@ -23,6 +23,8 @@ ROCKSDB = {
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # preallocated files would take about 3 MB for each store
     "spark.sql.streaming.minBatchesToRetain": "2",
 }
+#: Parameter: files of the arrival log in a micro-batch; the state carries over from one to the next.
+FILES_PER_BATCH = 1000
 #: On file:// paths, where the default manager starts a chmod process for each file.
 LOCAL_FILES = {"spark.sql.streaming.checkpointFileManagerClass": "org.apache.spark.sql.execution.streaming.checkpointing.FileSystemBasedCheckpointFileManager"}
 
@@ -36,15 +38,15 @@ def sha256(text: Column) -> Column:
 
 
 def arrivals(rows: DataFrame, digest) -> DataFrame:
-    return rows.select("doc_id", digest(normalised(F.col("text"))).alias("digest"), (-F.length(F.coalesce("text", F.lit("")))).alias("neg_chars"), "__file", "__row")
+    return rows.select("doc_id", digest(normalised(F.col("text"))).alias("digest"), (-F.length(F.coalesce("text", F.lit("")))).alias("neg_chars"), "file", "at")
 
 
 def best_row() -> Column:
     """The row that stays: most code points, then least doc_id (null last), then storage order."""
-    return F.min(F.struct("neg_chars", F.col("doc_id").isNull().alias("no_id"), "doc_id", "__file", "__row"))
+    return F.min(F.struct("neg_chars", F.col("doc_id").isNull().alias("no_id"), "doc_id", "file", "at"))
 
 
-def stream_state(spark: SparkSession, log: str, checkpoint: str, out: str, files_per_batch: int | None = None) -> DataFrame:
+def stream_state(spark: SparkSession, log: str, checkpoint: str, out: str, files_per_batch: int | None = FILES_PER_BATCH) -> DataFrame:
     """Feeds the log's files through the keyed state and returns its last value for each digest. A restart with the same checkpoint resumes."""
     own = spark.newSession()
     partitions = spark.conf.get("spark.sql.shuffle.partitions")  # a new session starts from the application's settings
@@ -60,28 +62,35 @@ def stream_state(spark: SparkSession, log: str, checkpoint: str, out: str, files
 
     query = state.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(keep).trigger(availableNow=True).start()
     query.awaitTermination()
-    schema = "digest string, best struct<neg_chars int, no_id boolean, doc_id long, __file string, __row long>, n long, batch int"
+    id_type = dict(spark.read.parquet(log).dtypes)["doc_id"]
+    schema = f"digest string, best struct<neg_chars int, no_id boolean, doc_id {id_type}, file string, at long>, n long, batch int"
     done = [p["batchId"] for p in query.recentProgress]
     last = spark.read.schema(schema).parquet(f"{out}/*") if done else spark.createDataFrame([], schema)
-    if files_per_batch:  # else one batch has every digest once
+    if max(done, default=0) > 0:  # a single batch has every digest once
         last = last.groupBy("digest").agg(F.max_by(F.struct("best", "n"), "batch").alias("s")).select("digest", "s.*")
     return last.select("digest", "best", "n")
 
 
-def classes(docs: DataFrame, digest=sha256, files_per_batch: int | None = None) -> DataFrame:
-    """One row per row of docs: doc_id, __file, __row, keep_id, group_size, kept, text_sha256 (of the normalised text).
+def classes(docs: DataFrame, digest=sha256, files_per_batch: int | None = FILES_PER_BATCH) -> DataFrame:
+    """One row per row of docs: doc_id, file, at, keep_id, group_size, kept, text_sha256 (of the normalised text).
 
-    Null text counts as empty, so null, empty and blank texts are one group. Of rows that are equal in length and doc_id the first
-    stored one stays. Columns other than doc_id and text aren't read. digest is a parameter so that tests can make it collide.
+    Null text counts as empty, so null, empty and blank texts are one group. Of rows that tie in length and doc_id (repeated rows)
+    the first stored one stays; a null doc_id comes after all others. Texts of any length are compared whole; the keyed state holds
+    their digests only. An empty table gives an empty table. Columns other than doc_id and text aren't read, whatever their names.
+    digest is a parameter so that tests can make it collide.
     """
-    spark = docs.sparkSession
+    return _classes(located(docs), digest, files_per_batch)
+
+
+def _classes(located_rows: DataFrame, digest=sha256, files_per_batch: int | None = FILES_PER_BATCH) -> DataFrame:
+    spark = located_rows.sparkSession
     log, checkpoint, out = (scratch(spark, f"dedup-{x}") for x in ("log", "state", "out"))
-    rows = located(docs).select("doc_id", "text", "__file", "__row")
+    rows = located_rows.select("row.doc_id", "row.text", "file", "at")
     arrivals(rows, digest).write.parquet(log)
     state = stream_state(spark, log, checkpoint, out, files_per_batch)
     drop_path(spark, checkpoint)
     hits = small(state.where("n > 1").select("digest", "best", "n"), 300)
-    texts = rows.select("doc_id", "__file", "__row", normalised(F.col("text")).alias("norm"), (-F.length(F.coalesce("text", F.lit("")))).alias("neg_chars")).withColumn("digest", digest(F.col("norm")))
+    texts = rows.select("doc_id", "file", "at", normalised(F.col("text")).alias("norm"), (-F.length(F.coalesce("text", F.lit("")))).alias("neg_chars")).withColumn("digest", digest(F.col("norm")))
     checked = texts.join(hits.select("digest"), "digest", "left_semi").groupBy("digest").agg(F.min("norm").alias("least"), F.max("norm").alias("most"))
     differ_path = scratch(spark, "dedup-differ")
     checked.where("least <> most").select("digest").write.parquet(differ_path)
@@ -90,20 +99,20 @@ def classes(docs: DataFrame, digest=sha256, files_per_batch: int | None = None)
     joined = logged.join(hits, "digest", "left")
     if not differ.isEmpty():
         by_text = texts.join(differ, "digest", "left_semi").groupBy("digest", "norm").agg(best_row().alias("tbest"), F.count(F.lit(1)).alias("tn"))
-        each = texts.join(differ, "digest", "left_semi").select("digest", "norm", "__file", "__row").join(by_text, ["digest", "norm"]).select("__file", "__row", "tbest", "tn", sha256(F.col("norm")).alias("tsha"))
-        joined = joined.join(each, ["__file", "__row"], "left").withColumns({"best": F.coalesce("tbest", "best"), "n": F.coalesce("tn", "n")})
+        each = texts.join(differ, "digest", "left_semi").select("digest", "norm", "file", "at").join(by_text, ["digest", "norm"]).select("file", "at", "tbest", "tn", sha256(F.col("norm")).alias("tsha"))
+        joined = joined.join(each, ["file", "at"], "left").withColumns({"best": F.coalesce("tbest", "best"), "n": F.coalesce("tn", "n")})
     if digest is not sha256:
-        joined = joined.join(texts.select("__file", "__row", sha256(F.col("norm")).alias("text_sha256")), ["__file", "__row"])
+        joined = joined.join(texts.select("file", "at", sha256(F.col("norm")).alias("text_sha256")), ["file", "at"])
     else:
         joined = joined.withColumn("text_sha256", F.col("digest"))
     own = F.col("best").isNull()
-    kept = own | ((F.col("best.__file") == F.col("__file")) & (F.col("best.__row") == F.col("__row")))
+    kept = own | ((F.col("best.file") == F.col("file")) & (F.col("best.at") == F.col("at")))
     return joined.select(
-        "doc_id", "__file", "__row", F.when(own, F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), kept.alias("kept"), "text_sha256"
+        "doc_id", "file", "at", F.when(own, F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), kept.alias("kept"), "text_sha256"
     )
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """docs without the rows that equal another one that stays; columns as given."""
     rows = located(docs)
-    return without(rows, classes(rows).where(~F.col("kept")).select("__file", "__row"))
+    return without(rows, _classes(rows).where(~F.col("kept")).select("file", "at"))

@@ -14,10 +14,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, label_sample
+from .common import cut, held_out, label_sample
 from .textblock import BLOCK_CHARS, TextBlock, slices, span_hashes
 
-#: Parameters: labelled rows of each language to learn from, and their greatest length; table size, training steps.
+#: Parameters: labelled rows of each language to learn from, and characters of a row (pieces of longer ones); table size, training steps.
 PER_LABEL, SAMPLE_CHARS = 300, 8000
 BUCKETS, STEPS, RATE, DECAY, SEED, LEXICON_MIN = 1 << 17, 40, 0.25, 1e-6, 11, 4
 PIECE_WORDS = (3, 40)
@@ -258,16 +258,20 @@ def train(texts: list[str], langs: list[str]) -> Model:
 
 
 def fit(docs: DataFrame, per_label: int = PER_LABEL) -> Model:
-    """Learns from a bounded sample: about per_label rows of each language, texts of at most SAMPLE_CHARS, held-out rows never."""
-    known = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & (F.length("text") <= SAMPLE_CHARS) & ~held_out(F.col("doc_id"), FOLDS, FOLD))
-    rows = label_sample(known, "lang", per_label).orderBy("doc_id", "text").select("text", "lang").collect()
-    return train([r.text for r in rows], [str(r.lang) for r in rows])
+    """Learns from a bounded sample: about per_label rows of every language, held-out rows never; of a row longer than SAMPLE_CHARS
+    evenly spaced pieces from its start to its end. Repeated rows of one id and text count once."""
+    known = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"), FOLDS, FOLD))
+    picked = label_sample(known, "lang", per_label, ("doc_id", "text")).select("doc_id", "lang", cut(F.col("text"), SAMPLE_CHARS).alias("text"))
+    rows = picked.distinct().orderBy("doc_id", "text", "lang").collect()
+    return train([r.text for r in rows], [r.lang for r in rows])
 
 
 def predicted(docs: DataFrame, model: Model) -> DataFrame:
     """docs with lang_pred (a learned language; und for null and for texts without a letter) and score of each whole text.
 
-    A very long text is one chain of its own block. Columns of these names are replaced.
+    Languages that tie go to the first by name. Repeated rows get equal results; an empty table gives an empty one. A text longer
+    than a block is a chain in a block of its own, at some 300 bytes of memory a character. Columns named lang_pred and score are
+    replaced, others stay.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -282,5 +286,7 @@ def predicted(docs: DataFrame, model: Model) -> DataFrame:
                 score += two.tolist()
             yield pd.DataFrame({"lang_pred": pd.Series(lang, dtype=object), "score": pd.Series(score, dtype="float64")})
 
-    out = docs.withColumn("__lang", predict(F.col("text")))
-    return out.withColumns({"lang_pred": F.col("__lang.lang_pred"), "score": F.col("__lang.score")}).drop("__lang")
+    rest = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    # the result replaces lang_pred, so that no other column can have its name
+    out = docs.select(*[docs[f"`{c}`"] for c in rest], predict(docs["text"]).alias("lang_pred"))
+    return out.select(*[f"`{c}`" for c in rest], F.col("lang_pred.lang_pred").alias("lang_pred"), F.col("lang_pred.score").alias("score"))

@@ -13,10 +13,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, label_sample
+from .common import cut, held_out, label_sample, small
 from .textblock import TextBlock, by_block, slices, span_hashes
 
-#: Parameters: passage length; labelled rows of each class to learn from, and their greatest length; sizes and steps of training.
+#: Parameters: passage length; labelled rows of each class to learn from, and characters of a row (pieces of longer ones); sizes and steps of training.
 PASSAGE, PER_LABEL, SAMPLE_CHARS = 400, 2000, 20_000
 HIDDEN, GATE, STEPS, RATE, DECAY, SEED = 24, 12, 200, 0.02, 1e-4, 7
 FOLDS, FOLD, THRESHOLD = 5, 0, 0.3
@@ -125,6 +125,25 @@ class Model:
         return self.score(x, doc, len(texts))
 
 
+def gradients(model: Model, x, doc, n: int, y, cost) -> dict[str, np.ndarray]:
+    """Of the weighted log loss of n documents by the parameters, through the gate's softmax."""
+    p = model.p
+    h, t, s, weight, first, z, out = model._forward(x, doc, n)
+    d_out = ((1 / (1 + np.exp(-out)) - y) * cost).astype(x.dtype)
+    g = {"c": z.T @ d_out, "d": d_out.sum()}
+    d_z = d_out[:, None] * p["c"]
+    d_h = weight[:, None] * d_z[doc]
+    d_weight = (h * d_z[doc]).sum(1)
+    d_e = weight * (d_weight - np.add.reduceat(weight * d_weight, first)[doc])
+    g["a"] = (t * s).T @ d_e
+    d_ts = d_e[:, None] * p["a"]
+    d_t, d_s = d_ts * s * (1 - t * t), d_ts * t * s * (1 - s)
+    g["v"], g["u"] = h.T @ d_t, h.T @ d_s
+    d_h = (d_h + d_t @ p["v"].T + d_s @ p["u"].T) * (1 - h * h)
+    g["w"], g["b"] = x.T @ d_h, d_h.sum(0)
+    return g
+
+
 def train(texts: list[str], labels: list[int], prior: float) -> Model:
     """Full-batch Adam on the document log loss; the sample's class balance is put back to prior."""
     model = Model(prior)
@@ -146,19 +165,7 @@ def train(texts: list[str], labels: list[int], prior: float) -> Model:
     share = y.mean()
     cost = np.where(y == 1, 0.5 / share, 0.5 / (1 - share)) / n
     for step in range(1, STEPS + 1):
-        h, t, s, weight, first, z, out = model._forward(x, doc, n)
-        d_out = ((1 / (1 + np.exp(-out)) - y) * cost).astype(np.float32)
-        g = {"c": z.T @ d_out, "d": d_out.sum()}
-        d_z = d_out[:, None] * p["c"]
-        d_h = weight[:, None] * d_z[doc]
-        d_weight = (h * d_z[doc]).sum(1)
-        d_e = weight * (d_weight - np.add.reduceat(weight * d_weight, first)[doc])
-        g["a"] = (t * s).T @ d_e
-        d_ts = d_e[:, None] * p["a"]
-        d_t, d_s = d_ts * s * (1 - t * t), d_ts * t * s * (1 - s)
-        g["v"], g["u"] = h.T @ d_t, h.T @ d_s
-        d_h = (d_h + d_t @ p["v"].T + d_s @ p["u"].T) * (1 - h * h)
-        g["w"], g["b"] = x.T @ d_h, d_h.sum(0)
+        g = gradients(model, x, doc, n, y, cost)
         for k in p:
             grad = g[k] + DECAY * p[k]
             m1[k] = 0.9 * m1[k] + 0.1 * grad
@@ -170,17 +177,24 @@ def train(texts: list[str], labels: list[int], prior: float) -> Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_label: int = PER_LABEL) -> Model:
-    """Learns from a bounded sample: about per_label rows of each class, texts of at most SAMPLE_CHARS, held-out rows never."""
-    known = labels.select("doc_id", F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & ~held_out(F.col("doc_id"), FOLDS, FOLD))
+    """Learns from a bounded sample: about per_label rows of each class, held-out rows never; of a row longer than SAMPLE_CHARS evenly
+    spaced pieces from its start to its end. Repeated rows of one id and text count once; null text counts as empty."""
+    known = labels.select("doc_id", F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & ~held_out(F.col("doc_id"), FOLDS, FOLD)).distinct()
     counts = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
     total = sum(counts.values())
     picked = label_sample(known, "y", per_label)
-    rows = docs.select("doc_id", "text").where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(picked), "doc_id").orderBy("doc_id", "text").select("text", "y").collect()
+    found = docs.select("doc_id", "text").join(small(picked, 64), "doc_id")
+    rows = found.select("doc_id", cut(F.coalesce("text", F.lit("")), SAMPLE_CHARS).alias("text"), "y").distinct().orderBy("doc_id", "text", "y").select("text", "y").collect()
     return train([r.text for r in rows], [r.y for r in rows], counts.get(1, 0) / total if total else 0.5)
 
 
 def scored(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:
-    """docs with the score (probability of label 1) of each whole text; null counts as empty, a column of that name is replaced."""
+    """docs with the score (probability of label 1) of each whole text.
+
+    Null counts as empty, and an empty text is one passage without characters. Texts that tie in their features, repeated rows above
+    all, get equal scores; an empty table gives an empty one. A text longer than a block is a block of its own, at some 100 bytes of
+    memory a character. A column named as `out` is replaced, others stay.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
@@ -192,6 +206,6 @@ def scored(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without those that score below threshold; columns as given."""
+    """docs without those that score below threshold; columns as given. Edge cases as in scored(); without two classes of labels none goes."""
     rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs["text"].alias("text"))
     return scored(rows, fit(docs, labels)).where(F.col("score") >= threshold).select("row.*")

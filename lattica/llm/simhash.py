@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import located, small, without, written
+from .common import drop_path, located, scratch, small, without, written
 
 SEED, BITS, K = 42, 64, 2
 #: Parameters: bits that one index level adds; candidate node pairs expanded at once; run length from which a run is divided.
@@ -201,24 +201,37 @@ def linked(fps: DataFrame, long_run: int = LONG_RUN) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """node, root for every node of edges (u, v): least label of the neighbours, then the label's label, until nothing changes. Each round is a written table."""
-    both = written(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "links")
-    labels = written(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("root")).withColumnRenamed("u", "node"), "labels")
+    spark = edges.sparkSession
+    links_path, paths = scratch(spark, "links"), [scratch(spark, "labels")]
+    edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct().write.parquet(links_path)
+    both = spark.read.parquet(links_path)
+    both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("root")).select(F.col("u").alias("node"), "root").write.parquet(paths[0])
     while True:
+        labels = spark.read.parquet(paths[-1]).select("node", "root")
         near = both.join(labels.select(F.col("node").alias("v"), "root"), "v").groupBy("u").agg(F.min("root").alias("near"))
         hooked = labels.join(near, labels.node == near.u).select("node", F.col("root").alias("was"), F.least("root", "near").alias("via"))
         up = labels.select(F.col("node").alias("via"), F.col("root").alias("above"))
-        stepped = written(hooked.join(up, "via").select("node", "was", F.least("via", "above").alias("root")), "labels")
+        paths.append(scratch(spark, "labels"))
+        hooked.join(up, "via").select("node", "was", F.least("via", "above").alias("root")).write.parquet(paths[-1])
+        drop_path(spark, paths[-2])
+        stepped = spark.read.parquet(paths[-1])
         if stepped.where("root <> was").isEmpty():
+            drop_path(spark, links_path)
             return stepped.select("node", "root")
-        labels = stepped.select("node", "root")
 
 
 def groups(docs: DataFrame, long_run: int = LONG_RUN) -> DataFrame:
-    """One row per row of docs: doc_id, __file, __row, fp, component_id (least doc_id reachable over links of K or fewer bits), n_same (rows of the fingerprint).
+    """One row per row of docs: doc_id, file, at, fp, component_id (least doc_id reachable over links of K or fewer bits), in_group.
 
-    A text without words, null included, has fingerprint zero, which links like any other. Repeated rows each get a row. Columns other than doc_id and text aren't read.
+    A text without words (null, empty, blank) has fingerprint zero, which links like any other. Texts are read whole at any length,
+    one at a time. Repeated rows each get a row and share a component; a tie of ids can't arise, since the least id names the
+    component. An empty table gives an empty table. Columns other than doc_id and text aren't read, whatever their names.
     """
-    rows = written(located(docs).select("doc_id", "__file", "__row", fingerprints("text").alias("fp")), "fingerprints")
+    return _groups(located(docs), long_run)
+
+
+def _groups(located_rows: DataFrame, long_run: int = LONG_RUN) -> DataFrame:
+    rows = written(located_rows.select("row.doc_id", "file", "at", fingerprints("row.text").alias("fp")), "fingerprints")
     nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("n_same")), "nodes")
     roots_of = components(linked(nodes.select("fp"), long_run))
     member = nodes.join(roots_of, nodes.fp == roots_of.node).select("fp", "least_id", "n_same", "root")
@@ -226,12 +239,12 @@ def groups(docs: DataFrame, long_run: int = LONG_RUN) -> DataFrame:
     in_groups = member.join(least, "root").select("fp", "component_id")
     copies = nodes.where("n_same > 1").select("fp", F.col("least_id").alias("component_id")).join(roots_of.select(F.col("node").alias("fp")), "fp", "left_anti")
     of = small(written(in_groups.unionByName(copies), "groups"), 60)
-    return rows.join(of, "fp", "left").select("doc_id", "__file", "__row", "fp", F.coalesce("component_id", "doc_id").alias("component_id"), F.col("component_id").isNotNull().alias("in_group"))
+    return rows.join(of, "fp", "left").select("doc_id", "file", "at", "fp", F.coalesce("component_id", "doc_id").alias("component_id"), F.col("component_id").isNotNull().alias("in_group"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one row of each group: the one with the least doc_id, of repeated ids the first stored; columns as given."""
+    """docs with one row of each group: the one with the least doc_id (null last), of repeated ids the first stored; columns as given."""
     rows = located(docs)
-    grouped = groups(rows).where("in_group").withColumn("this", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__file", "__row"))
+    grouped = _groups(rows).where("in_group").withColumn("this", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "file", "at"))
     stays = small(written(grouped.groupBy("component_id").agg(F.min("this").alias("first")), "stays"), 200)
-    return without(rows, grouped.join(stays, "component_id").where("this <> first").select("__file", "__row"))
+    return without(rows, grouped.join(stays, "component_id").where("this <> first").select("file", "at"))
