@@ -30,9 +30,9 @@ def test_equals_brute_force_even_when_digests_collide(spark, digest, per_batch):
 
 def test_state_carries_over_batches(spark, tmp_path):
     log, ck, out = (str(tmp_path / x) for x in ("log", "ck", "out"))
-    spark.createDataFrame([("d", -3, False, 7, "f", 0)], "digest string, neg_chars int, no_id boolean, doc_id long, __file string, __row long").drop("no_id").write.parquet(log)
+    spark.createDataFrame([("d", -3, False, 7, "f", 0)], "digest string, neg_chars int, no_id boolean, doc_id long, file string, at long").drop("no_id").write.parquet(log)
     first = exact_dedup.stream_state(spark, log, ck, out, 1).collect()
-    spark.createDataFrame([("d", -5, 9, "f", 1), ("e", -1, 8, "f", 2)], "digest string, neg_chars int, doc_id long, __file string, __row long").write.mode("append").parquet(log)
+    spark.createDataFrame([("d", -5, 9, "f", 1), ("e", -1, 8, "f", 2)], "digest string, neg_chars int, doc_id long, file string, at long").write.mode("append").parquet(log)
     second = {r.digest: (r.best.doc_id, r.n) for r in exact_dedup.stream_state(spark, log, ck, out, 1).collect()}
     assert (first[0].best.doc_id, first[0].n) == (7, 1)
     assert second == {"d": (9, 2), "e": (8, 1)}

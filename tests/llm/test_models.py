@@ -127,15 +127,18 @@ def test_scores_of_edge_cases(spark):
     assert kept.columns == docs.columns and kept.count() == len(EDGE)
 
 
-def test_nearest_examples_equal_brute_force():
+@pytest.mark.parametrize("sparse", [3, 12, 10_000])
+def test_nearest_examples_equal_brute_force(monkeypatch, sparse):
+    monkeypatch.setattr(toxicity, "SPARSE", sparse)
     r = np.random.default_rng(3)
-    n, m = 500, 40
+    n, m = 700, 40
     x = r.random((n, m)) * (r.random((n, m)) < 0.15)
+    x[300:320] = x[299]  # ties
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
     doc, term = np.nonzero(x)
     index = toxicity.Index(doc, term, x[doc, term], n, m)
-    for _ in range(30):
-        q = r.random(m) * (r.random(m) < 0.2)
+    for i in range(40):
+        q = r.random(m) * (r.random(m) < 0.2) if i else x[299].copy()
         terms = np.flatnonzero(q)
         ids, sims = index.nearest(terms, q[terms], 15)
         s = x @ q
@@ -143,6 +146,61 @@ def test_nearest_examples_equal_brute_force():
         assert list(ids) == want and np.allclose(sims, s[want])
 
 
+@have_tables
+def test_toxicity_scores_equal_brute_force(spark):
+    """The whole score on 300 texts: terms, TF-IDF with relevance, all cosines, votes and calibration, in plain loops."""
+    import math
+
+    docs = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").orderBy("doc_id").limit(600).collect()]
+    label = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    learn = [(d, t, label[d]) for d, t in docs if label.get(d) is not None and zlib.crc32(str(d).encode()) % 4 != 2]
+    learn += learn[:3]  # copies
+    model = toxicity.train([d for d, *_ in learn], [t for _, t, _ in learn], [y for *_, y in learn], 0.2)
+
+    def terms(text):
+        out = {}
+        for w in re.findall(r"[^\W\d_]+", text.lower()):
+            for x in {w, ("begin", w[:4]) if len(w) > 4 else w}:
+                out[x] = out.get(x, 0) + 1
+        return out
+
+    unique = {t: y for _, t, y in learn}
+    n, n1 = len(unique), sum(unique.values())
+    df, df1 = {}, {}
+    for t, y in unique.items():
+        for x in terms(t):
+            df[x] = df.get(x, 0) + 1
+            df1[x] = df1.get(x, 0) + y
+
+    def factor(x):
+        if x not in df:
+            return math.log((1 + n) / 2) + 1
+        cells = [(df1[x], df[x] * n1 / n), (df[x] - df1[x], df[x] * (n - n1) / n), (n1 - df1[x], (n - df[x]) * n1 / n), (n - n1 - df[x] + df1[x], (n - df[x]) * (n - n1) / n)]
+        g = 2 * sum(o * math.log(o / e) for o, e in cells if o > 0)
+        evidence = math.sqrt(max(g, 0)) if df1[x] * n > df[x] * n1 else 0
+        return (math.log((1 + n) / (1 + df[x])) + 1) * (1 + max(evidence - toxicity.EVIDENCE, 0) ** toxicity.POWER)
+
+    def vector(text):
+        v = {x: (1 + math.log(c)) * factor(x) for x, c in terms(text).items()}
+        norm = math.sqrt(sum(w * w for w in v.values()))
+        return {x: w / norm for x, w in v.items()}
+
+    examples = [(d, vector(t), y) for d, t, y in learn]
+    share = sum(y for *_, y in learn) / len(learn)
+    test = [t for _, t in docs[:300]]
+    got, evidence = model.score(test)
+    for text, score, near in zip(test, got, evidence):
+        v = vector(text) if terms(text) else {}
+        cosines = sorted((sum(w * e.get(x, 0) for x, w in v.items()) for _, e, _ in examples), reverse=True)
+        want = [c for c in cosines if c > 0][: toxicity.K]
+        assert np.allclose([c for _, c, _ in near], want, atol=1e-9)
+        cost = {1: 0.2 / share, 0: 0.8 / (1 - share)}
+        up, down = sum(c * cost[y] * y for _, c, y in near) + toxicity.PRIOR_WEIGHT * 0.2, sum(c * cost[y] for _, c, y in near) + toxicity.PRIOR_WEIGHT
+        p = min(max(up / down if near else 0.2, 1e-4), 1 - 1e-4)
+        assert abs(score - 1 / (1 + math.exp(-(model.slope * math.log(p / (1 - p)) + model.shift)))) < 1e-9
+    assert len(set(got.round(9).tolist())) > 200 and sum(not e for e, t in zip(evidence, test) if terms(t)) == 0
+
+
 def test_toxic_words_and_word_beginnings_in_texts_of_any_length():
     r = np.random.default_rng(4)
     word = lambda: "".join(r.choice(list("abcdefghij"), r.integers(2, 8)))
@@ -189,3 +247,96 @@ def test_pii_model_and_edge_cases(spark):
     assert got[7].spans == "email:26:34,phone:5:22,secret:36:63"
     assert all(got[i].spans == "" for i in (0, 1, 2, 4, None, 6))
     assert pii.found(docs.limit(0), model).collect() == []
+
+
+def test_pii_neighbours_stay_apart_and_spaced_addresses_are_found():
+    model = pii.default_model()
+    added = lambda t: model.added([t], [pii.base_spans(t)])[0]
+    assert added("call 555-123-4567 555-987-6543") == [("phone", 5, 17), ("phone", 18, 30)]
+    one, two = "api_key=0a1b2c3d4e5f60718293a4b5c6d7e8f9", "token=9f8e7d6c5b4a39281706f5e4d3c2b1a0"
+    assert added(f"{one} {two} ok") == [("secret", 0, 40), ("secret", 41, 79)]
+    # a base span cuts its words out of a run, the rest of the run stays
+    t = f"{one} 10.1.2.3 {two}###"
+    assert pii.base_spans(t) == [("ip", 41, 49)] and added(t) == [("secret", 0, 40), ("secret", 50, 88)]
+    r = np.random.default_rng(7)
+    part = lambda a, b: "".join(r.choice(list("abcdefghiklmnoprstu"), r.integers(a, b)))
+    found = 0
+    for _ in range(200):
+        name, host = part(3, 9), part(3, 8) + ".com"
+        t = f"please write to {name} (at) {host} today"
+        found += ("email", 16, 16 + len(f"{name} (at) {host}")) in added(t)
+    assert found > 190
+    assert not pii.evident("card", "4111111111111112") and pii.evident("card", "4111 1111 1111 1111") and not pii.evident("phone", "12-34")
+
+
+def test_pii_query_equals_a_plain_version(spark):
+    """found against plain patterns, a plain Viterbi and spans joined word by word."""
+    plain = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+    def keep(kind, m):
+        d = re.sub("[^0-9]", "", m)
+        ok = {"email": True, "ip": kind == "ip" and all(int(x) <= 255 for x in m.split(".")), "card": 13 <= len(d) <= 19 and sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(d))) % 10 == 0, "phone": 9 <= len(d) <= 15}
+        return ok[kind]
+
+    model = pii.default_model()
+
+    def plain_labels(e, first):
+        y, s, back = [], None, []
+        rows = [*range(len(e)), None]
+        for i in rows:
+            if i is None or (first[i] and s is not None):
+                if s is not None:
+                    now, path = int(s.argmax()), []
+                    for bp in reversed(back):
+                        path.append(now)
+                        now = bp[now]
+                    y += [*reversed([*path, now])] if not path else [*reversed([*path, now])]
+                if i is None:
+                    break
+                s, back = None, []
+            if s is None:
+                s = model.start + e[i]
+            else:
+                t = s[:, None] + model.trans
+                back.append(t.argmax(0))
+                s = t.max(0) + e[i]
+        return y
+
+    def plain_spans(text):
+        base = [(k, m.start(), m.end()) for k, p in plain.items() for m in re.finditer(p, text) if keep(k, m.group())]
+        w = pii.Words([text])
+        y = plain_labels(model.emission(w.features), w.first)
+        added, cur = [], None
+        for i, v in enumerate(y):
+            s, e = int(w.start[i]), int(w.end[i])
+            label = pii.LABELS[v]
+            touches = any(s < b and a < e for _, a, b in base)
+            if label == "O" or touches:
+                cur = None
+                continue
+            begin, kind = label.split("-")
+            if cur is None or begin == "B" or cur[0] != kind or w.first[i]:
+                cur = [kind, s, e]
+                added.append(cur)
+            else:
+                cur[2] = e
+        added = [(k, *pii.trimmed(text, s, e)) for k, s, e in added]
+        return base, [x for x in added if pii.evident(x[0], text[x[1] : x[2]])]
+
+    table = pii.labelled_table(260, 5151)
+    texts = ["\n".join(" ".join(w for w, _ in s) for s in table[i : i + 4]) for i in range(0, 260, 4)]
+    texts += [" ".join(w for w, _ in table[0]) * 40, None, ""]
+    got = pii.found(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    import hashlib
+
+    n = 0
+    for r in got:
+        base, added = plain_spans(r.text or "")
+        n += len(added)
+        show = lambda x: ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(x, key=lambda x: (pii.KINDS.index(x[0]), x[1], x[2])))
+        assert r.pii.spans == show(base + added), r.text
+        assert r.pii.base_sha256 == hashlib.sha256(show(base).encode()).hexdigest()
+        every = sorted((a, b) for _, a, b in base + added)
+        assert not [1 for (_, b), (a, _) in itertools.pairwise(sorted((a, b) for _, a, b in added)) if a < b]
+        assert all(not (a < b1 and a1 < b) for _, a, b in added for _, a1, b1 in base) and every == sorted(every)
+    assert n > 50
