@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,3 +77,17 @@ def hashed_embedding(df: DataFrame, keys: list[str], tokens: str, dimension: int
     counts = df.select(*keys, F.explode(tokens).alias("tok")).groupBy(*keys, bucket.alias("bucket")).agg(F.count(F.lit(1)).cast("double").alias("n"))
     norms = counts.groupBy(*keys).agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
     return counts.join(norms, keys).select(*keys, "bucket", (F.col("n") / F.col("norm")).alias("x"))
+
+
+def hashed_vector(tokens: Column | str, dimension: int = 64) -> Column:
+    """The hashed token counts of a row as one array; all zero without tokens. Tokens are hashed by built-in functions, counted in Arrow batches."""
+    t = F.col(tokens) if isinstance(tokens, str) else tokens
+    return _counted(dimension)(F.transform(t, lambda x: F.conv(F.substring(F.md5(x.cast("binary")), 1, 4), 16, 10).cast("int") % dimension))
+
+
+def _counted(dimension: int):
+    @F.pandas_udf("array<double>")
+    def counts(buckets: pd.Series) -> pd.Series:
+        return pd.Series([np.bincount(b, minlength=dimension).astype(float) if b is not None and len(b) else np.zeros(dimension) for b in buckets])
+
+    return counts

@@ -11,9 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lattica.operators.graph import settled
+
 #: Parameters: rows of a block; rows that the inverted file's centres are fitted on, rows of a cell, Lloyd rounds.
 BLOCK_ROWS = 2048
-CENTRE_SAMPLE, CELL_ROWS, ROUNDS, SEED = 20_000, 500, 8, 3
+#: Parameters: bytes of query vectors in one pass over the base; base rows that meet them at once.
+QUERY_BYTES, BASE_ROWS = 32 << 20, 8192
+CENTRE_SAMPLE, CELL_ROWS, MAX_CELLS, ROUNDS, SEED = 20_000, 500, 4096, 8, 3  # beyond MAX_CELLS cells grow, and are searched in blocks
 #: Share of a sample's true neighbours that the probed cells must hold, and rows of the sample that ask.
 RECALL, ASKING, NEIGHBOURS = 0.97, 200, 10
 # Fixed values of the adaptive cut.
@@ -57,26 +61,82 @@ def _searcher(keys: list[str], k: int | None, least: float | None, exclude: bool
     return search
 
 
+def near(queries: DataFrame, base: DataFrame, k: int | None = None, least: float | None = None, exclude: bool = True, slack: float = 1e-12) -> DataFrame:
+    """src, dst, sim (cosine): all that can be among the k nearest (of each stretch of base rows, within slack of its k-th), or at least `least`.
+
+    Base rows stay where they are; queries (id, vector) are broadcast, in passes of QUERY_BYTES at most, so that neither side's
+    vectors are shuffled and what the driver holds is bounded. Beyond one pass each pass's result is a written table.
+    """
+    spark = base.sparkSession
+    rows, first = queries.count(), queries.select(F.size("vector").alias("n")).first()
+    passes = max(1, math.ceil(rows * max(first.n if first else 1, 1) * 8 / QUERY_BYTES))
+    found = []
+    for p in range(passes):
+        some = queries if passes == 1 else queries.where(F.pmod(F.xxhash64("id"), F.lit(passes)) == p)
+        got = some.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector")).toArrow()
+        ids = got.column("id").to_numpy()
+        unit = _unit(got.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)) if len(ids) else np.zeros((0, 1))
+        held = spark.sparkContext.broadcast((ids, unit))
+        part = base.select("id", F.col("vector").cast("array<double>").alias("vector")).mapInPandas(_near(held, k, least, exclude, slack), "src long, dst long, sim double")
+        if passes > 1:
+            part = settled(part)
+            held.unpersist()
+        found.append(part)
+    out = found[0]
+    for part in found[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _near(held, k: int | None, least: float | None, exclude: bool, slack: float):
+    def found(ids: np.ndarray, vectors: np.ndarray) -> Iterator[pd.DataFrame]:
+        q_ids, q = held.value
+        for a in range(0, len(q), 512):
+            sims = q[a : a + 512] @ vectors.T
+            if exclude:
+                sims[q_ids[a : a + 512, None] == ids[None, :]] = -np.inf
+            keep = np.isfinite(sims)
+            if k is not None and k < sims.shape[1]:
+                keep &= sims >= np.partition(sims, -k, axis=1)[:, -k, None] - slack  # ties are settled by id later
+            if least is not None:
+                keep &= sims >= least
+            i, j = np.nonzero(keep)
+            yield pd.DataFrame({"src": q_ids[a + i], "dst": ids[j], "sim": sims[i, j]})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, vectors, n = [], [], 0
+        for pdf in batches:
+            if len(pdf):
+                ids.append(pdf["id"].to_numpy(np.int64))
+                vectors.append(_unit(pdf["vector"]))
+                n += len(pdf)
+            if n >= BASE_ROWS:
+                yield from found(np.concatenate(ids), np.vstack(vectors))
+                ids, vectors, n = [], [], 0
+        if n:
+            yield from found(np.concatenate(ids), np.vstack(vectors))
+
+    return run
+
+
 def search(queries: DataFrame, base: DataFrame, k: int | None = None, least: float | None = None, exclude: bool = True, on: list[tuple[str, str]] | None = None) -> DataFrame:
     """src, dst, sim (cosine), rank: exact neighbours of queries (id, vector) in base (id, vector).
 
-    Blocks of queries meet blocks of base in one matrix product each; only block results of at most k rows per query (or at least
-    `least`) leave a task. `on` names group columns (of queries, of base) that must be equal; each side's come back as given.
+    Without groups as near(). `on` names group columns (of queries, of base) that must be equal; each side's come back as given, and
+    blocks of queries meet blocks of base of the same group in one matrix product each.
     """
-    on = on or []
-    q = blocks(queries, "id", "vector", group=[a for a, _ in on]).withColumnsRenamed({"ids": "q_ids", "vectors": "q_vectors"})
-    b = blocks(base, "id", "vector", group=[x for _, x in on]).withColumnsRenamed({"ids": "b_ids", "vectors": "b_vectors"})
-    keys = [a for a, _ in on]
-    if on:
-        renamed = b.withColumnsRenamed({x: f"_on_{i}" for i, (_, x) in enumerate(on)})
-        cond = [q[a] == renamed[f"_on_{i}"] for i, (a, _) in enumerate(on)]
-        pairs = q.join(renamed, cond).drop(*[f"_on_{i}" for i in range(len(on))])
+    keys = [a for a, _ in on or []]
+    if not on:
+        found = near(queries, base, k, least, exclude)
     else:
-        pairs = q.crossJoin(b)  # of blocks, not of rows
-    parallel = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    types = {f.name: f.dataType.simpleString() for f in q.schema}
-    schema = ", ".join([*(f"{c} {types[c]}" for c in keys), "src long, dst long, sim double"])
-    found = pairs.repartition(parallel).mapInPandas(_searcher(keys, k, least, exclude), schema)
+        q = blocks(queries, "id", "vector", group=keys).withColumnsRenamed({"ids": "q_ids", "vectors": "q_vectors"})
+        b = blocks(base, "id", "vector", group=[x for _, x in on]).withColumnsRenamed({"ids": "b_ids", "vectors": "b_vectors"})
+        renamed = b.withColumnsRenamed({x: f"_on_{i}" for i, (_, x) in enumerate(on)})
+        pairs = q.join(renamed, [q[a] == renamed[f"_on_{i}"] for i, a in enumerate(keys)]).drop(*[f"_on_{i}" for i in range(len(on))])
+        parallel = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        types = {f.name: f.dataType.simpleString() for f in q.schema}
+        schema = ", ".join([*(f"{c} {types[c]}" for c in keys), "src long, dst long, sim double"])
+        found = pairs.repartition(parallel).mapInPandas(_searcher(keys, k, least, exclude), schema)
     ranked = found.withColumn("rank", F.row_number().over(W.partitionBy(*keys, "src").orderBy(F.desc("sim"), "dst")).cast("long"))
     return ranked.where(F.col("rank") <= k) if k is not None else ranked
 
@@ -119,9 +179,9 @@ class InvertedFile:
 
     def __init__(self, base: DataFrame, n_cells: int | None = None, probe: int | None = None):
         n = base.count()
-        self.n_cells = n_cells or max(1, min(4096, n // CELL_ROWS + 1))
+        self.n_cells = n_cells or max(1, min(MAX_CELLS, n // CELL_ROWS + 1))
         share = min(1.0, CENTRE_SAMPLE / max(n, 1))
-        rows = base.where(F.pmod(F.xxhash64("id", F.lit("centres")), F.lit(1_000_000)) < share * 1_000_000).orderBy("id").select("vector").collect()
+        rows = base.where(F.shiftrightunsigned(F.xxhash64("id", F.lit("centres")), 1).cast("double") / float(1 << 63) < share).orderBy("id").select("vector").collect()
         x = _unit([r.vector for r in rows]) if rows else np.zeros((1, 1))
         centres = x[np.random.default_rng(SEED).permutation(len(x))[: self.n_cells]]
         for _ in range(ROUNDS):

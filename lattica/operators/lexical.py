@@ -6,44 +6,57 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lattica.operators.graph import settled
+from lattica.operators.sizes import small
+
 # BM25 parameters, floor share of the Okapi form, boost and cut-offs of the hybrid rules.
 K1, B, OKAPI_EPSILON = 1.5, 0.75, 0.25
 BOOST, NEAR_PERCENTILE, LEXICAL_PERCENTILE = 1.5, 0.20, 0.80
 
 
 class LexicalIndex:
-    """Term counts, document lengths and frequencies of docs (id, tokens array). All statistics cover all documents."""
+    """Document lengths and frequencies of docs (id, tokens array). All statistics cover all documents.
+
+    Tokens meet the queries' terms before anything is counted, so only postings of asked terms are shuffled.
+    """
 
     def __init__(self, docs: DataFrame, floor_negative: bool = False):
-        tokens = docs.select("id", F.explode("tokens").alias("term"))
-        self.tf = tokens.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
-        self.lengths = docs.select("id", F.greatest(F.size("tokens"), F.lit(0)).alias("length"))
-        self.totals = self.lengths.agg(F.count(F.lit(1)).cast("double").alias("n_docs"), F.avg("length").alias("mean_length"))
-        self.df = self.tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        self.docs = docs
+        length = F.greatest(F.size("tokens"), F.lit(0))
+        self.totals = docs.agg(F.count(F.lit(1)).cast("double").alias("n_docs"), F.avg(length).alias("mean_length"))
+        self.postings = docs.select("id", length.alias("length"), F.explode("tokens").alias("term"))
         self.floor_negative = floor_negative
 
-    def idf(self) -> DataFrame:
-        """term, idf = ln(N - n + .5) - ln(n + .5), which may be negative; the Okapi form raises negatives to a share of the mean."""
-        raw = self.df.crossJoin(F.broadcast(self.totals)).select("term", (F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))  # totals is one row
+    def _idf_of(self, df: DataFrame) -> DataFrame:
+        return df.crossJoin(F.broadcast(self.totals)).select("term", (F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))  # totals is one row
+
+    def idf(self, tf: DataFrame | None = None) -> DataFrame:
+        """term, idf = ln(N - n + .5) - ln(n + .5) of the terms in tf (else all), which may be negative; the Okapi form raises negatives to a share of the mean over all terms."""
+        every = self.postings.select("id", "term").distinct()
+        raw = self._idf_of((every if tf is None else tf).groupBy("term").agg(F.count(F.lit(1)).alias("df")))
         if not self.floor_negative:
             return raw
-        mean = raw.agg(F.avg("idf").alias("mean"))
+        mean = self._idf_of(every.groupBy("term").agg(F.count(F.lit(1)).alias("df"))).agg(F.avg("idf").alias("mean"))
         return raw.crossJoin(F.broadcast(mean)).select("term", F.when(F.col("idf") < 0, OKAPI_EPSILON * F.col("mean")).otherwise(F.col("idf")).alias("idf"))
 
-    def _matches(self, queries: DataFrame) -> DataFrame:
-        """query, id, tf, qf, length for each common term. Postings of asked terms only; a frequent term's postings are split by adaptive execution."""
+    def _matches(self, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Counts (query, term, qf) of the queries, and postings (id, term, length, tf) of their terms; a frequent term's postings are split by adaptive execution."""
         q = queries.select("query", F.explode("tokens").alias("term")).groupBy("query", "term").agg(F.count(F.lit(1)).alias("qf"))
-        return q.join(self.tf, "term").join(self.lengths, "id")
+        asked = self.postings.join(small(q.select("term").distinct(), 40), "term", "left_semi")
+        return q, asked.groupBy("id", "term", "length").agg(F.count(F.lit(1)).alias("tf"))
 
     def scores(self, queries: DataFrame) -> DataFrame:
         """query, id, score of documents that share a term; a query term counts as often as it occurs."""
-        rows = self._matches(queries).join(self.idf(), "term").crossJoin(F.broadcast(self.totals))
+        q, tf = self._matches(queries)
+        tf = settled(tf)  # counted once, for frequencies and scores
+        rows = tf.join(small(q.join(self.idf(tf), "term"), 60), "term").crossJoin(F.broadcast(self.totals))
         part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
         return rows.groupBy("query", "id").agg(F.sum(F.col("qf") * part).alias("score"))
 
     def saturation_scores(self, queries: DataFrame) -> DataFrame:
         """query, id, score: tf / (tf + 1) over distinct query terms, by the root of the length."""
-        rows = self._matches(queries)
+        q, tf = self._matches(queries)
+        rows = tf.join(small(q, 50), "term")
         return rows.groupBy("query", "id").agg((F.sum(F.col("tf") / (F.col("tf") + 1.0)) / F.sqrt(F.first("length"))).alias("score"))
 
 

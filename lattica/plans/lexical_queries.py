@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from lattica.catalog import query
 from lattica.functions import text as tx
+from lattica.functions import vectors as vx
 from lattica.operators import chunking as ch
 from lattica.operators import graph as g
+from lattica.operators import knn
 from lattica.operators import lexical as lx
+from lattica.operators.sizes import small
 from lattica.plans.chunk_queries import KEYWORDS, LIST
 from lattica.sources.tables import table
 
@@ -117,13 +120,24 @@ DENSE = _EMB.format(name="dv", key="doc_id", ws=words_sql("text"), table="docume
 co AS (SELECT q.k AS query, d.k AS id, sum(q.x * d.x) AS c FROM qv q JOIN dv d USING (b) GROUP BY ALL)"""
 
 
-def dense(spark, sf_dir):
-    """query, id, c: cosine of the hashed embeddings of benchmark items and documents, by join on the bucket of the sparse vectors."""
-    from lattica.functions import vectors as vx
+def _hashed(tokens, key):
+    """id, vector: hashed embeddings of the rows that have tokens."""
+    return tokens.where(F.size("tokens") > 0).select(F.col(key).alias("id"), vx.hashed_vector("tokens").alias("vector"))
 
-    d = vx.hashed_embedding(_tokens(spark, sf_dir, tx.words), ["id"], "tokens")
-    q = vx.hashed_embedding(_queries(spark, sf_dir, tx.words), ["query"], "tokens").withColumnRenamed("x", "y")
-    return d.join(F.broadcast(q) if q.count() <= 1_000_000 else q, "bucket").groupBy("query", "id").agg(F.sum(F.col("x") * F.col("y")).alias("c"))
+
+def dense_top(spark, sf_dir, k):
+    """query, id, score, rank: the k documents nearest to each benchmark item by cosine of their hashed embeddings. Rows with no bucket in common (cosine 0) don't count."""
+    d, q = _hashed(_tokens(spark, sf_dir, tx.words), "id"), _hashed(_queries(spark, sf_dir, tx.words), "query")
+    found = knn.near(q, d, k, exclude=False, slack=1e-9).where("sim > 0")
+    return lx.top(found.select(F.col("src").alias("query"), F.col("dst").alias("id"), F.col("sim").alias("score")), k)
+
+
+def dense_of(spark, sf_dir, pairs):
+    """query, id, score of given pairs only, where the cosine is positive."""
+    d, q = _hashed(_tokens(spark, sf_dir, tx.words), "id"), _hashed(_queries(spark, sf_dir, tx.words), "query")
+    asked = d.join(small(pairs.select("id").distinct(), 24), "id", "left_semi")
+    rows = pairs.select("query", "id").join(asked.withColumnRenamed("vector", "x"), "id").join(small(q.select(F.col("id").alias("query"), F.col("vector").alias("y")), 600), "query")
+    return rows.select("query", "id", vx.cosine("x", "y").alias("score")).where("score > 0")
 
 
 def _out(scores, k=20):
@@ -139,7 +153,7 @@ xt AS (SELECT query, id, score, row_number() OVER (PARTITION BY query ORDER BY r
 
 
 def _tops(spark, sf_dir, k):
-    near = lx.top(dense(spark, sf_dir).withColumnRenamed("c", "score"), k)
+    near = dense_top(spark, sf_dir, k)
     return near, lx.top(bm25(spark, sf_dir), k)
 
 
@@ -154,15 +168,16 @@ def h1_hybrid_even(spark, sf_dir):
 h AS (SELECT query, id, CASE WHEN c IS NULL THEN 0 ELSE 0.4 * greatest(0, c) + 0.6 * sa.score END AS score FROM ca JOIN sa USING (query, id) LEFT JOIN co USING (query, id)) {_out_sql("h")}""")
 def h2_hybrid_saturation(spark, sf_dir):
     lexical = saturation(spark, sf_dir)
-    candidates = lx.top(lexical, 50).select("query", "id")
-    near = dense(spark, sf_dir).select("query", "id", F.greatest(F.lit(0.0), "c").alias("score"))
+    candidates = g.settled(lx.top(lexical, 50).select("query", "id", "score"))
+    lexical = candidates
+    near = dense_of(spark, sf_dir, candidates)
     return _out(lx.blended_left(candidates, near, lexical, 0.4, needs_near=True))
 
 
 @query(f"""WITH {BM25}, {DENSE}, {_TOPS.format(k=100)}, near AS (SELECT query, id, 1 / (1 + 2 - 2 * c) AS n FROM nt), lex AS (SELECT query, id, score / max(score) OVER (PARTITION BY query) AS s FROM bm WHERE score > 0),
 h AS (SELECT query, id, CASE WHEN n IS NOT NULL AND s IS NOT NULL THEN 1.5 ELSE 1.0 END * (0.5 * coalesce(n, 0) + 0.5 * coalesce(s, 0)) AS score FROM near FULL JOIN lex USING (query, id)) {_out_sql("h", 50)}""")
 def h4_service_hybrid(spark, sf_dir):
-    near = lx.top(dense(spark, sf_dir).withColumnRenamed("c", "score"), 100).withColumn("score", 1 / (1 + 2 - 2 * F.col("score")))
+    near = dense_top(spark, sf_dir, 100).withColumn("score", 1 / (1 + 2 - 2 * F.col("score")))
     lexical = lx.max_normalised(bm25(spark, sf_dir).where("score > 0"))
     return _out(lx.blended(near, lexical, 0.5, lx.BOOST), 50)
 
@@ -211,7 +226,7 @@ def j15_substring_join(spark, sf_dir):
     longest = found.withColumn("word", F.element_at(F.array_sort(F.transform("words", lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 1)["w"])
     docs = _docs(spark, sf_dir).select("doc_id", "text")
     tokens = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(\p{L}+)"), F.lit(1)))).alias("word"))
-    near = tokens.join(F.broadcast(longest.where("word IS NOT NULL").select("item_id", "word")) if longest.count() <= 100_000 else longest.select("item_id", "word"), "word").select("item_id", "doc_id")
+    near = tokens.join(small(longest.where("word IS NOT NULL").select("item_id", "word"), 60), "word").select("item_id", "doc_id")
     keyed = near.join(items, "item_id").join(docs, "doc_id").where(F.contains("text", "item"))
     bare = longest.where("word IS NULL").select("item_id", "item").join(docs, F.contains("text", "item"))  # items without an inner word
     return keyed.select("item_id", "doc_id").unionByName(bare.select("item_id", "doc_id"))
@@ -227,7 +242,7 @@ def f13_search_box(spark, sf_dir):
 @query(f"""WITH {BM25}, {DENSE}, t AS (SELECT query, id, c, row_number() OVER (PARTITION BY query ORDER BY round(c, 9) DESC, id) AS rank FROM co QUALIFY rank <= 10),
 h AS (SELECT t.query, t.id, 0.4 * c + 0.6 * coalesce(bm.score, 0) + 0.1 * (d.lang = 'en')::INT + 0.05 * (contains(lower(d.text), 'the'))::INT AS score FROM t JOIN documents d ON d.doc_id = t.id LEFT JOIN bm ON bm.query = t.query AND bm.id = t.id) {_out_sql("h", 10)}""")
 def h3_hybrid_with_bonus(spark, sf_dir):
-    near = lx.top(dense(spark, sf_dir).withColumnRenamed("c", "score"), 10)
+    near = dense_top(spark, sf_dir, 10)
     base = lx.blended_left(near.select("query", "id"), near, bm25(spark, sf_dir), 0.4)
     facts = _docs(spark, sf_dir).select(F.col("doc_id").alias("id"), (F.col("lang") == "en").cast("int").alias("exact"), F.contains(F.lower("text"), F.lit("the")).cast("int").alias("partial"))
     return _out(base.join(facts, "id").withColumn("score", F.col("score") + lx.entity_bonus(F.col("exact"), F.col("partial"))).select("query", "id", "score"), 10)
@@ -239,7 +254,7 @@ n AS (SELECT query, id, count(*) AS appearances, max(c) AS best, avg(c) AS mean
 SELECT query, id, appearances, round(best, 6) AS best, round(mean, 6) AS mean, round(threshold, 6) AS threshold FROM n JOIN th USING (query) """)
 def h8_neighbour_scores(spark, sf_dir):
     """Neighbours of retrieved documents with how often, how near at best and on average; the threshold is the mean of the means."""
-    near = lx.top(dense(spark, sf_dir).withColumnRenamed("c", "score"), 10)
+    near = dense_top(spark, sf_dir, 10)
     p = near.join(g.both_ways(links(spark, sf_dir)), near.id == F.col("src")).select("query", F.col("dst").alias("id"), "score")
     n = p.groupBy("query", "id").agg(F.count(F.lit(1)).alias("appearances"), F.max("score").alias("best"), F.avg("score").alias("mean"))
     th = n.groupBy("query").agg(F.avg("mean").alias("threshold"))
@@ -256,9 +271,9 @@ SELECT query, id, rank, 'initial' AS origin FROM s UNION ALL SELECT query, id, r
 @query(_expanded_sql(5, 5))
 def h9_enhanced_list(spark, sf_dir):
     """The first k0 results, then the best graph candidates in the slots after them (5 and 5 for a list of 10)."""
-    d = dense(spark, sf_dir).withColumnRenamed("c", "score")
-    initial = g.settled(lx.top(d, 5))
-    grown = g.one_hop(initial.select("query", "id"), links(spark, sf_dir), ["query"]).join(d, ["query", "id"], "left").select("query", "id", F.coalesce("score", F.lit(0.0)).alias("score"))
+    initial = g.settled(dense_top(spark, sf_dir, 5))
+    grown = g.settled(g.one_hop(initial.select("query", "id"), links(spark, sf_dir), ["query"]))
+    grown = grown.join(dense_of(spark, sf_dir, grown), ["query", "id"], "left").select("query", "id", F.coalesce("score", F.lit(0.0)).alias("score"))
     extra = lx.top(grown, 5).withColumn("rank", F.col("rank") + 5)
     cols = ["query", "id", "rank"]
     return initial.select(*cols, F.lit("initial").alias("origin")).unionByName(extra.select(*cols, F.lit("graph").alias("origin")))
@@ -268,7 +283,7 @@ def h9_enhanced_list(spark, sf_dir):
 gr AS (SELECT DISTINCT t.query, lk.dst AS id FROM t JOIN lk ON lk.src = t.id WHERE NOT EXISTS (SELECT 1 FROM t s2 WHERE s2.query = t.query AND s2.id = lk.dst))
 SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY id) AS position FROM gr QUALIFY position <= 5""")
 def h11_unranked_expansion(spark, sf_dir):
-    found = lx.top(dense(spark, sf_dir).withColumnRenamed("c", "score"), 10).select("query", "id")
+    found = dense_top(spark, sf_dir, 10).select("query", "id")
     grown = g.one_hop(found, links(spark, sf_dir), ["query"])
     return grown.withColumn("position", F.row_number().over(W.partitionBy("query").orderBy("id")).cast("long")).where("position <= 5")
 
@@ -281,13 +296,11 @@ s AS (SELECT t.query, t.id, pv.pos, round(sum(pv.x * dv.x), 9) AS c FROM t JOIN
 SELECT query, id, round(max(c), 6) AS score, arg_min(pos, (-c, pos))::BIGINT AS winner FROM s GROUP BY query, id""")
 def h7_best_part_of_question(spark, sf_dir):
     """Similarity of the whole question or its best sentence, whichever is greater; winner is the sentence, -1 the whole."""
-    from lattica.functions import vectors as vx
-
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), "text")
     subs = items.select("query", F.posexplode(tx.sentences("text")).alias("pos", "t"))
     parts = items.select("query", F.lit(-1).alias("pos"), F.col("text").alias("t")).unionByName(subs).select("query", "pos", tx.words("t").alias("tokens"))
     pv = vx.hashed_embedding(parts, ["query", "pos"], "tokens").withColumnRenamed("x", "y")
     dv = vx.hashed_embedding(_tokens(spark, sf_dir, tx.words), ["id"], "tokens")
-    near = lx.top(dense(spark, sf_dir).withColumnRenamed("c", "score"), 10).select("query", "id")
+    near = dense_top(spark, sf_dir, 10).select("query", "id")
     s = near.join(dv, "id").join(pv, ["query", "bucket"]).groupBy("query", "id", "pos").agg(F.round(F.sum(F.col("x") * F.col("y")), 9).alias("c"))
     return s.groupBy("query", "id").agg(F.round(F.max("c"), 6).alias("score"), F.min_by("pos", F.struct(-F.col("c"), "pos")).cast("long").alias("winner"))
