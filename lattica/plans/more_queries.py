@@ -169,16 +169,8 @@ def _fails(questions, texts):
     raise RuntimeError("no judge")
 
 
-@query("SELECT doc_id AS id, contains(text, 'the') AS kept, true AS kept_on_failure FROM documents WHERE doc_id % 10 = 0")
-def q7_relevance_filter(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("doc_id % 10 = 0").select(F.lit(1).alias("query"), F.col("doc_id").alias("id"), F.lit("?").alias("question"), "text")
-    kept, failed = em.relevant(d, _has_word).select("id", F.lit(True).alias("k")), em.relevant(d, _fails).select("id", F.lit(True).alias("f"))
-    return d.select("id").join(kept, "id", "left").join(failed, "id", "left").select("id", F.coalesce("k", F.lit(False)).alias("kept"), F.coalesce("f", F.lit(False)).alias("kept_on_failure"))
-
-
 @query("SELECT doc_id AS id, contains(text, 'the') AS kept, true AS kept_on_failure FROM documents")
-def q7_relevance_filter_whole(spark, sf_dir):
-    """As q7_relevance_filter, of all documents."""
+def q7_relevance_filter(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.lit(1).alias("query"), F.col("doc_id").alias("id"), F.lit("?").alias("question"), "text")
     kept, failed = em.relevant(d, _has_word).select("id", F.lit(True).alias("k")), em.relevant(d, _fails).select("id", F.lit(True).alias("f"))
     return d.select("id").join(kept, "id", "left").join(failed, "id", "left").select("id", F.coalesce("k", F.lit(False)).alias("kept"), F.coalesce("f", F.lit(False)).alias("kept_on_failure"))
@@ -199,24 +191,9 @@ def q11_raw_sql(spark, sf_dir):
     return spark.sql(_RAW, customer=table(spark, sf_dir, "customer"), nation=table(spark, sf_dir, "nation"))
 
 
-@query("SELECT CASE WHEN doc_id % 2 = 0 THEN 'd'||doc_id ELSE 'item_'||(row_number() OVER (PARTITION BY doc_id % 4 ORDER BY doc_id) - 1) END AS source, length(text) AS n FROM documents WHERE doc_id < 40")
-def s5_json_containers(spark, sf_dir):
-    """Entries of JSON lists and of objects that hold them under different names, written and read again."""
-    d = table(spark, sf_dir, "documents").where("doc_id < 40").select("doc_id", "text")
-    entry = F.struct(F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("d"), F.col("doc_id").cast("string"))).alias("id"), F.col("text"))
-    files = d.groupBy((F.col("doc_id") % 4).alias("k")).agg(F.array_sort(F.collect_list(F.struct("doc_id", entry.alias("e")))).alias("l")).select("k", F.transform("l", lambda x: x["e"]).alias("l"))
-    path = _folder(spark, "containers")
-    body = F.when(F.col("k") == 0, F.to_json("l"))
-    for i, name in enumerate(("content", "data", "items", "entries")):
-        body = body if i == 0 else F.when(F.col("k") == i, F.to_json(F.struct(F.col("l").alias(name)))).otherwise(body)
-    files.select("k", body.alias("value")).write.partitionBy("k").text(path)
-    got = rd.json_entries(spark, f"{path}/k=*/*.txt")
-    return got.select("source", F.length("content").cast("long").alias("n"))
-
-
 @query("SELECT CASE WHEN doc_id % 2 = 0 THEN 'd'||doc_id ELSE 'item_'||(row_number() OVER (PARTITION BY doc_id // 400, doc_id % 4 ORDER BY doc_id) - 1) END AS source, length(text) AS n FROM documents")
-def s5_json_containers_whole(spark, sf_dir):
-    """As s5_json_containers, of all documents: containers hold the documents of one kind among 400 ids, a file each."""
+def s5_json_containers(spark, sf_dir):
+    """Entries of JSON lists and of objects that hold them under different names, written and read again; a container holds the documents of one kind among 400 ids, a file each."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     entry = F.struct(F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("d"), F.col("doc_id").cast("string"))).alias("id"), F.col("text"))
     files = d.groupBy((F.col("doc_id") % 4).alias("k"), F.floor(F.col("doc_id") / 400).alias("block")).agg(F.array_sort(F.collect_list(F.struct("doc_id", entry.alias("e")))).alias("l")).select("k", F.transform("l", lambda x: x["e"]).alias("l"))
@@ -256,17 +233,9 @@ def s31_step_store(spark, sf_dir):
     return s.counts()
 
 
-@query(f"WITH {EV} SELECT query AS question, id, rank FROM rk WHERE rank <= 3 AND query < 50")
-def s32_evidence(spark, sf_dir):
-    folder = _folder(spark, "evidence")
-    r = g.settled(_ranked(spark, sf_dir, 3).where("query < 50").select("query", "id", "rank"))
-    r.withColumnRenamed("query", "question").write.partitionBy("question").json(folder)
-    return spark.read.schema("id long, rank long, question long").json(folder).select("question", "id", "rank")
-
-
 @query(f"WITH {EV} SELECT query AS question, id, rank FROM rk WHERE rank <= 3")
-def s32_evidence_whole(spark, sf_dir):
-    """As s32_evidence, of all questions; a file each."""
+def s32_evidence(spark, sf_dir):
+    """Evidence of every question, a file each."""
     folder = _folder(spark, "evidence")
     r = g.settled(_ranked(spark, sf_dir, 3).select("query", "id", "rank"))
     r.withColumnRenamed("query", "question").repartition("question").write.partitionBy("question").json(folder)

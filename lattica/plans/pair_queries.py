@@ -178,19 +178,10 @@ def f11_normal_answers(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", tx.normal_answer("p_name").alias("answer"), tx.answers_match(F.col("p_name"), F.col("p_brand")).alias("matches"))
 
 
-_ENT = "list_filter(string_split(lower(substr(text, 1, 400)), ' '), lambda w: length(w) BETWEEN 3 AND 6)[1:8]"
+_ENT = "list_filter(string_split(lower(text), ' '), lambda w: length(w) BETWEEN 3 AND 6)"
 
 
 def _names(spark, sf_dir):
-    words = F.slice(F.filter(F.split(F.lower(F.substring("text", 1, 400)), " "), lambda w: F.length(w).between(3, 6)), 1, 8)
-    return table(spark, sf_dir, "documents").select("doc_id", words.alias("names"))
-
-
-_ALL_ENT = "list_filter(string_split(lower(text), ' '), lambda w: length(w) BETWEEN 3 AND 6)"
-
-
-def _all_names(spark, sf_dir):
-    """As _names, of the whole text."""
     words = F.filter(F.split(F.lower("text"), " "), lambda w: F.length(w).between(3, 6))
     return table(spark, sf_dir, "documents").select("doc_id", words.alias("names"))
 
@@ -202,7 +193,7 @@ def _neighbours(rows):
 
 @query()
 def j16_fuzzy_entity_matches(spark, sf_dir):
-    return _neighbours(_all_names(spark, sf_dir)).select("a", "b", pr.match_count("x", "y").alias("matches"))
+    return _neighbours(_names(spark, sf_dir)).select("a", "b", pr.match_count("x", "y").alias("matches"))
 
 
 @query()
@@ -232,25 +223,13 @@ def j18_exact_entity_overlap(spark, sf_dir):
 @query(f"""WITH n AS (SELECT doc_id, {_ENT} AS w FROM documents), p AS (SELECT a.doc_id AS a, b.doc_id AS b, unnest(a.w) AS x, b.w AS y FROM n a JOIN n b ON b.doc_id = a.doc_id + 1),
 k AS (SELECT a, b, x, list_filter(y, lambda z: contains(z, x))[1] AS hit FROM p) SELECT a, b, count(*) FILTER (hit = x) AS exact, count(*) FILTER (hit <> x) AS partial FROM k GROUP BY a, b""")
 def j19_first_matches(spark, sf_dir):
-    k = _neighbours(_names(spark, sf_dir)).select("a", "b", F.explode(pr.first_match(F.col("x"), F.col("y"))).alias("kind"))
-    return k.groupBy("a", "b").agg(F.count_if(F.col("kind") == "exact").alias("exact"), F.count_if(F.col("kind") == "partial").alias("partial"))
-
-
-@query(f"""WITH n AS (SELECT doc_id, {_ALL_ENT} AS w FROM documents), p AS (SELECT a.doc_id AS a, b.doc_id AS b, unnest(a.w) AS x, b.w AS y FROM n a JOIN n b ON b.doc_id = a.doc_id + 1),
-k AS (SELECT a, b, x, list_filter(y, lambda z: contains(z, x))[1] AS hit FROM p) SELECT a, b, count(*) FILTER (hit = x) AS exact, count(*) FILTER (hit <> x) AS partial FROM k GROUP BY a, b""")
-def j19_first_matches_whole(spark, sf_dir):
-    n = _neighbours(_all_names(spark, sf_dir)).where(F.size("x") > 0)
+    n = _neighbours(_names(spark, sf_dir)).where(F.size("x") > 0)
     return n.select("a", "b", pr.first_match_counts("x", "y").alias("n")).select("a", "b", "n.exact", "n.partial")
 
 
-@query(f"WITH n AS (SELECT doc_id, {_ALL_ENT} AS w FROM documents) SELECT a.doc_id AS a, b.doc_id AS b, len(list_filter(a.w, lambda x: list_contains(b.w, x))) AS matches FROM n a JOIN n b ON b.doc_id = a.doc_id + 1")
-def j20_equal_names_whole(spark, sf_dir):
-    return _neighbours(_all_names(spark, sf_dir)).select("a", "b", F.size(F.filter("x", lambda v: F.array_contains("y", v))).cast("long").alias("matches"))  # both sides are lower-case words
-
-
 @query(f"WITH n AS (SELECT doc_id, {_ENT} AS w FROM documents) SELECT a.doc_id AS a, b.doc_id AS b, len(list_filter(a.w, lambda x: list_contains(b.w, x))) AS matches FROM n a JOIN n b ON b.doc_id = a.doc_id + 1")
 def j20_equal_names(spark, sf_dir):
-    return _neighbours(_names(spark, sf_dir)).select("a", "b", pr.equal_ignoring_case(F.col("x"), F.col("y")).cast("long").alias("matches"))
+    return _neighbours(_names(spark, sf_dir)).select("a", "b", F.size(F.filter("x", lambda v: F.array_contains("y", v))).cast("long").alias("matches"))  # both sides are lower-case words
 
 
 @query(f"WITH {PM} SELECT count(*) AS n_edges, count(*) FILTER (content >= 0.4) AS kept, (SELECT count(*) FROM (SELECT a AS id FROM pm WHERE content >= 0.4 UNION SELECT b FROM pm WHERE content >= 0.4)) AS n_nodes FROM pm")
@@ -262,8 +241,8 @@ def j7_edges_of_loaded_nodes(spark, sf_dir):
     return m.agg(F.count(F.lit(1)).alias("n_edges")).crossJoin(inside.agg(F.count(F.lit(1)).alias("kept"))).crossJoin(nodes.agg(F.count(F.lit(1)).alias("n_nodes")))
 
 
-@query("""WITH p AS (SELECT p_partkey, p_name, p_brand, p_type FROM part WHERE p_partkey % 50 = 0), d AS (SELECT n_nationkey, n_name FROM nation)
+@query("""WITH p AS (SELECT p_partkey, p_name, p_brand, p_type FROM part)
 SELECT p_partkey, array_to_string(list_filter([p_name, p_brand, p_type], lambda v: length(v) > 2 AND contains(lower(p_name||' of '||p_type), lower(v)))[1:10], ',') AS refs FROM p""")
 def j15_value_references(spark, sf_dir):
-    p = table(spark, sf_dir, "part").where("p_partkey % 50 = 0")
+    p = table(spark, sf_dir, "part")
     return p.select("p_partkey", F.array_join(pr.references(F.array("p_name", "p_brand", "p_type"), F.concat_ws(" of ", "p_name", "p_type")), ",").alias("refs"))
