@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 # Kinds by file ending, tokens that stand for no value, names of the list under which entries may be, ordinals.
 DOCUMENT_ENDINGS, TABLE_ENDINGS = ("txt", "md", "pdf", "docx", "html"), ("csv", "tsv", "xlsx", "xls", "parquet")
+TEXT_ENDINGS, CSV_ENDING = ("txt",), "csv"
 NULL_TOKENS = ("nan", "none", "null")
 ENTRY_KEYS = ("data", "items", "entries")
 RANKS = 100
@@ -21,15 +23,72 @@ def text_files(spark: SparkSession, paths: str | list[str], pattern: str = "*.tx
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
 
 
+def existing(spark: SparkSession, paths: list[str]) -> list[str]:
+    """Those of the paths at which there is something."""
+    conf = spark._jsc.hadoopConfiguration()
+    found = [(p, spark._jvm.org.apache.hadoop.fs.Path(p)) for p in paths]
+    return [p for p, x in found if x.getFileSystem(conf).exists(x)]
+
+
+def sources(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """path, name, kind, content of the text files and CSV files among the paths, or in folders among them; what is missing or of another ending is left out."""
+    there = existing(spark, paths)
+    if not there:
+        return spark.createDataFrame([], "path string, name string, kind string, content string")
+    files = text_files(spark, there, "*.{" + ",".join(e for x in (*TEXT_ENDINGS, CSV_ENDING) for e in (x, x.upper())) + "}")
+    ending = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
+    return files.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.when(ending == CSV_ENDING, "table").otherwise("document").alias("kind"), "content")
+
+
+def csv_tables(spark: SparkSession, paths: list[str], pattern: str = "*.csv") -> dict[str, DataFrame]:
+    """header line -> rows of all CSV files that begin with it, their columns with inferred types and path; values in quotes may hold line breaks.
+
+    Missing paths and files without a line are left out. A line that doesn't fit its header gives nulls or loses what is too much. The
+    driver holds one plan a distinct header and the list of files, as Spark's own file index does.
+    """
+    there = existing(spark, paths)
+    if not there:
+        return {}
+    lines = spark.read.option("pathGlobFilter", pattern).text(there).where("_metadata.file_block_start = 0")
+    placed = lines.select(F.col("_metadata.file_path").alias("path"), "value", F.monotonically_increasing_id().alias("at"))
+    firsts = placed.groupBy("path").agg(F.min_by("value", "at").alias("header"))
+    found: dict[str, list[str]] = {}
+    for path, header in firsts.orderBy("path").toLocalIterator():
+        if header.strip():
+            found.setdefault(header.rstrip("\r"), []).append(unquote(path))
+    read = spark.read.options(header=True, inferSchema=True, multiLine=True, quote='"', escape='"')
+    return {header: read.csv(files).withColumn("path", F.col("_metadata.file_path")) for header, files in found.items()}
+
+
 def table_rows(spark: SparkSession, paths: str | list[str], pattern: str = "*.csv") -> DataFrame:
-    """path, rn, row (column name -> value as text) of CSV files with headers; each file keeps its own columns."""
-    lines = text_files(spark, paths, pattern)
-    header = F.split_part(F.col("content"), F.lit("\n"), F.lit(1))
-    schema = F.transform(F.split(F.regexp_replace(header, "\r$", ""), ","), lambda c: F.trim(F.replace(c, F.lit('"'), F.lit(""))))
-    body = F.filter(F.slice(F.split(F.regexp_replace("content", "\r", ""), "\n"), 2, 1 << 30), lambda x: F.trim(x) != "")
-    rows = lines.select("path", schema.alias("columns"), F.posexplode(body).alias("rn", "line"))
-    cells = F.transform(F.split("line", r',(?=(?:[^"]*"[^"]*")*[^"]*$)'), lambda v: F.regexp_replace(v, '^"|"$', ""))
-    return rows.select("path", "rn", F.map_from_entries(F.arrays_zip(F.col("columns").alias("k"), cells.alias("v"))).alias("row"))
+    """path, rn, row (column name -> value as text) of CSV files with headers; each file keeps its own columns, rn follows a file's rows."""
+    parts = []
+    for rows in csv_tables(spark, [paths] if isinstance(paths, str) else paths, pattern).values():
+        cells = F.create_map(*[x for c in rows.columns if c != "path" for x in (F.lit(c), F.col(f"`{c}`").cast("string"))])
+        parts.append(rows.select("path", F.monotonically_increasing_id().alias("rn"), cells.alias("row")))
+    return union_all(parts) if parts else spark.createDataFrame([], "path string, rn long, row map<string,string>")
+
+
+def chunk_files(spark: SparkSession, paths: str | list[str], schema: str, pattern: str = "*.json") -> DataFrame:
+    """Chunks of JSON files, one chunk or one array of chunks a file; malformed files and chunks without chunk_id are left out."""
+    rows = spark.read.schema(schema).options(multiLine=True, mode="DROPMALFORMED", pathGlobFilter=pattern).json(paths)
+    return rows.where("chunk_id IS NOT NULL")
+
+
+def column_descriptions(raw: Column, headers: Column) -> Column:
+    """Descriptions as a list: a JSON object gives one of each header ('' where it has none), a JSON list stays, anything else is an empty list."""
+    none, text = F.array().cast("array<string>"), F.trim(raw)
+    named = F.from_json(text, "map<string,string>")
+    by_header = F.transform(F.coalesce(headers, none), lambda h: F.coalesce(F.try_element_at(named, h), F.lit("")))
+    return F.when(F.startswith(text, F.lit("{")), by_header).when(F.startswith(text, F.lit("[")), F.coalesce(F.from_json(text, "array<string>"), none)).otherwise(none)
+
+
+def word_files(spark: SparkSession, folder: str) -> DataFrame:
+    """language, word of a folder of word lists, one file or folder a language and a word a line; blank lines count for nothing."""
+    lines = spark.read.option("recursiveFileLookup", "true").text(folder).withColumn("path", F.url_decode(F.col("_metadata.file_path")))
+    language = F.regexp_extract("path", "/language=([^/]+)/", 1)
+    named = F.when(language != "", language).otherwise(F.regexp_extract("path", r"/([^/]+?)(\.[^./]*)?$", 1))
+    return lines.select(named.alias("language"), F.trim("value").alias("word")).where("word <> ''").distinct()
 
 
 def by_ending(path: Column) -> Column:
@@ -105,10 +164,14 @@ def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
 
 
 def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes, and those edges that have both ends among them; table content falls back to its summary, the edge type to doc-doc; malformed lines are skipped."""
-    nodes = spark.read.schema("id long, kind string, content string, summary string").option("mode", "DROPMALFORMED").json(f"{path}/nodes").where("id IS NOT NULL")
+    """Nodes, and those edges that have both ends among them; malformed lines are skipped.
+
+    Empty table content falls back to its summary, column descriptions become a list, a missing edge type is doc-doc.
+    """
+    nodes = spark.read.schema("id long, kind string, content string, summary string, column_headers array<string>, column_descriptions string").option("mode", "DROPMALFORMED").json(f"{path}/nodes").where("id IS NOT NULL")
     edges = spark.read.schema("src long, dst long, edge_type string, similarity double").option("mode", "DROPMALFORMED").json(f"{path}/edges")
-    nodes = nodes.withColumn("content", F.when(F.col("kind") == "table", F.coalesce("content", "summary")).otherwise(F.col("content")))
+    nodes = nodes.withColumn("content", F.when(F.col("kind") == "table", F.coalesce(F.nullif("content", F.lit("")), "summary")).otherwise(F.col("content")))
+    nodes = nodes.withColumn("column_descriptions", column_descriptions(F.col("column_descriptions"), F.col("column_headers")))
     ids = nodes.select("id")
     kept = edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
     return nodes, kept.withColumn("edge_type", F.coalesce("edge_type", F.lit("doc-doc")))
