@@ -31,7 +31,7 @@ def existing(spark: SparkSession, paths: list[str]) -> list[str]:
 
 
 def sources(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """path, name, kind, content of the text files and CSV files among the paths, or in folders among them; what is missing or of another ending is left out."""
+    """path, name, kind, content of the text files and CSV files among the paths, or in folders among them; what is missing, empty or of another ending is left out."""
     there = existing(spark, paths)
     if not there:
         return spark.createDataFrame([], "path string, name string, kind string, content string")
