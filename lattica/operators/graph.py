@@ -3,17 +3,16 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df as a table in the folder of spark.checkpoint.dir, or a checkpoint of its own folder where none is set."""
+def _stored(df: DataFrame) -> str:
+    """Writes df as a table in the folder of spark.checkpoint.dir, or in a checkpoint folder of its own where none is set; returns its path."""
     spark = df.sparkSession
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -27,7 +26,12 @@ def settled(df: DataFrame) -> DataFrame:
         base = sc.getCheckpointDir()
     path = f"{base.rstrip('/')}/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return path
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df as a table in the folder of spark.checkpoint.dir, which cuts lineage and outlives lost executors."""
+    return df.sparkSession.read.parquet(_stored(df))
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -50,19 +54,32 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         labels = stepped.select("id", "component")
 
 
-def levels(edges: DataFrame, starts: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """origin, id, depth: unweighted distance from each start (column origin). Only new nodes are carried on."""
-    both = settled(both_ways(edges))
-    seen = settled(starts.select("origin", F.col("origin").alias("id"), F.lit(0).alias("depth")))
-    frontier, depth = seen, 0
+def _searched(both: DataFrame, start: DataFrame, step: Callable[[DataFrame, int], DataFrame], max_depth: int | None = None) -> DataFrame:
+    """All levels of a breadth-first search from start (origin, id, ..) over edges in both directions, each written once.
+
+    A neighbour of a level is in that level, the one before or the next, so only these two are looked through for known nodes.
+    """
+    read, paths, before, depth = both.sparkSession.read, [_stored(start)], None, 0
+    front = read.parquet(paths[0])
     while max_depth is None or depth < max_depth:
         depth += 1
-        step = frontier.join(both, frontier.id == both.src).select("origin", F.col("dst").alias("id")).distinct()
-        frontier = settled(step.join(seen.select("origin", "id"), ["origin", "id"], "left_anti").withColumn("depth", F.lit(depth)))
-        if frontier.isEmpty():
+        known = front if before is None else front.unionByName(before)
+        path = _stored(step(front, depth).join(known.select("origin", "id"), ["origin", "id"], "left_anti").select(*start.columns))
+        before, front = front, read.parquet(path)
+        if front.isEmpty():
             break
-        seen = settled(seen.unionByName(frontier))
-    return seen
+        paths.append(path)
+    return read.parquet(*paths)
+
+
+def levels(edges: DataFrame, starts: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """origin, id, depth: unweighted distance from each start (column origin)."""
+    both = settled(both_ways(edges))
+
+    def step(front: DataFrame, depth: int) -> DataFrame:
+        return front.join(both, front.id == both.src).select("origin", F.col("dst").alias("id")).distinct().withColumn("depth", F.lit(depth))
+
+    return _searched(both, starts.select("origin", F.col("origin").alias("id"), F.lit(0).alias("depth")), step, max_depth)
 
 
 def farthest(sources: np.ndarray, starts: np.ndarray, order: np.ndarray, width: int = 512) -> np.ndarray:
@@ -117,16 +134,13 @@ def eccentricities(edges: DataFrame, limit: int = 4_000_000) -> DataFrame:
 def shortest_paths(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """origin, target, depth, path: the lexicographically least shortest path of each pair; a pair without one is left out."""
     both = settled(both_ways(edges))
-    front = settled(pairs.select("origin").distinct().select("origin", F.col("origin").alias("id"), F.array("origin").alias("path"), F.lit(0).alias("depth")))
-    seen, depth = front, 0
-    while True:
-        depth += 1
-        step = front.join(both, front.id == both.src).groupBy("origin", F.col("dst").alias("id")).agg(F.min("path").alias("path"))
-        front = settled(step.join(seen.select("origin", "id"), ["origin", "id"], "left_anti").select("origin", "id", F.concat("path", F.array("id")).alias("path"), F.lit(depth).alias("depth")))
-        if front.isEmpty():
-            break
-        seen = settled(seen.unionByName(front))
-    return pairs.join(seen.withColumnRenamed("id", "target"), ["origin", "target"]).select("origin", "target", "depth", "path")
+
+    def step(front: DataFrame, depth: int) -> DataFrame:
+        near = front.join(both, front.id == both.src).groupBy("origin", F.col("dst").alias("id")).agg(F.min("path").alias("path"))
+        return near.select("origin", "id", F.concat("path", F.array("id")).alias("path"), F.lit(depth).alias("depth"))
+
+    start = pairs.select("origin").distinct().select("origin", F.col("origin").alias("id"), F.array("origin").alias("path"), F.lit(0).alias("depth"))
+    return pairs.join(_searched(both, start, step).withColumnRenamed("id", "target"), ["origin", "target"]).select("origin", "target", "depth", "path")
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -151,21 +165,60 @@ def clustering(edges: DataFrame) -> DataFrame:
     return d.select("id", "degree", "triangles", F.when(pairs > 0, F.col("triangles") / F.when(pairs > 0, pairs)).otherwise(0.0).alias("coefficient"))
 
 
-def communities(edges: DataFrame, rounds: int = 12) -> DataFrame:
-    """id, community by weighted label propagation: the label of greatest weight among the neighbours and itself, the least on ties.
+def communities(edges: DataFrame, rounds: int = 8, passes: int = 3) -> DataFrame:
+    """id, community (its least id): moves by gain of modularity, split into connected pieces, repeated on the graph of the pieces.
 
-    A label is taken only by nodes whose turn a hash of the node and round gives, so two-node swaps end.
+    In a round the nodes whose turn a hash gives move at once, each to the neighbouring community of greatest gain, ties to the least;
+    rounds end when no node gains. Pieces of a community that hang together become the nodes of the next pass, whose first labels are
+    the communities that they came from, so a badly connected community can come apart. The labels of the pass of the greatest
+    modularity are kept, so that further passes never make it worse.
     """
-    e = edges.select("src", "dst", "weight").where(F.col("src") != F.col("dst"))
-    both = settled(e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")).groupBy("src", "dst").agg(F.max("weight").alias("weight")))
-    labels = settled(both.select(F.col("src").alias("id")).distinct().withColumn("community", F.col("id")))
+    e = edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "weight").where(F.col("src") != F.col("dst"))
+    e = settled(e.groupBy("src", "dst").agg(F.max("weight").alias("weight")))
+    piece = settled(e.select(F.explode(F.array("src", "dst")).alias("id")).distinct().withColumn("piece", F.col("id")))
+    level, first, best, found = e, None, -2.0, None
+    for _ in range(passes):
+        moved = settled(_moved(level, first, rounds))
+        labels = settled(piece.join(moved.withColumnRenamed("id", "piece"), "piece").select("id", "community"))
+        value = modularity(e, labels).first().modularity
+        if value is None or value <= best + 1e-9:
+            break
+        best, found = value, labels
+        ends = [moved.select(F.col("id").alias(end), F.col("community").alias(f"_{end}")) for end in ("src", "dst")]
+        inside = level.join(ends[0], "src").join(ends[1], "dst").where("_src = _dst").select("src", "dst")
+        joined = components(moved, inside).withColumnRenamed("component", "to")
+        first = settled(joined.join(moved, "id").groupBy(F.col("to").alias("id")).agg(F.min("community").alias("community")))
+        piece = settled(piece.join(joined.withColumnRenamed("id", "piece"), "piece").select("id", F.col("to").alias("piece")))
+        named = [joined.select(F.col("id").alias(end), F.col("to").alias(f"_{end}")) for end in ("src", "dst")]
+        both = level.join(named[0], "src").join(named[1], "dst")
+        level = settled(both.groupBy(F.least("_src", "_dst").alias("src"), F.greatest("_src", "_dst").alias("dst")).agg(F.sum("weight").alias("weight")))
+    if found is None:
+        return piece.select("id", F.col("id").alias("community"))
+    return found.join(found.groupBy("community").agg(F.min("id").alias("least")), "community").select("id", F.col("least").alias("community"))
+
+
+def _moved(edges: DataFrame, first: DataFrame | None, rounds: int) -> DataFrame:
+    """id, community after rounds of moves by gain of modularity; edges are undirected, once each, loops allowed."""
+    ends = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))  # a loop counts twice, as in a degree
+    strength = settled(ends.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("k")))
+    both = settled(ends.where("src <> dst"))
+    total = strength.agg(F.sum("k").alias("m2")).first().m2 or 1.0
+    labels = strength.select("id", F.col("id").alias("community")) if first is None else strength.select("id").join(first, "id")
+    labels = settled(labels)
     for i in range(rounds):
-        votes = both.join(labels.select(F.col("id").alias("dst"), "community"), "dst").groupBy("src", "community").agg(F.round(F.sum("weight"), 9).alias("w"))
-        best = votes.withColumn("r", F.row_number().over(W.partitionBy("src").orderBy(F.desc("w"), "community"))).where("r = 1").select(F.col("src").alias("id"), F.col("community").alias("new"))
+        known = labels.join(strength, "id")
+        sums = known.groupBy("community").agg(F.sum("k").alias("in"))
+        links = both.join(labels.select(F.col("id").alias("dst"), "community"), "dst").groupBy(F.col("src").alias("id"), "community").agg(F.sum("weight").alias("w"))
+        own = known.select("id", "k", F.col("community").alias("old"))
+        stay = own.select("id", F.col("old").alias("community"), F.lit(0.0).alias("w"))
+        choices = links.unionByName(stay).groupBy("id", "community").agg(F.sum("w").alias("w")).join(own, "id").join(sums, "community")
+        others = F.col("in") - F.when(F.col("community") == F.col("old"), F.col("k")).otherwise(0.0)
+        gain = F.round(F.col("w") - F.col("k") * others / total, 9)
+        top = choices.groupBy("id", "old").agg(F.max_by(F.struct("community"), F.struct(gain, F.col("community") == F.col("old"), -F.col("community"))).alias("to"), F.max(gain).alias("g"))
         turn = F.pmod(F.xxhash64("id", F.lit(i)), F.lit(2)) == 0
-        moved = settled(labels.join(best, "id").select("id", F.when(turn, F.col("new")).otherwise(F.col("community")).alias("community"), (F.col("new") != F.col("community")).alias("open")))
-        labels = moved.select("id", "community")
-        if moved.where("open").isEmpty():
+        stepped = settled(top.select("id", F.when(turn, F.col("to.community")).otherwise(F.col("old")).alias("community"), (F.col("to.community") != F.col("old")).alias("open")))
+        labels = stepped.select("id", "community")
+        if stepped.where("open").isEmpty():
             break
     return labels
 
