@@ -377,7 +377,7 @@ def all_spans(base: list[tuple[str, int, int]], added: list[tuple[str, int, int]
 
 
 def found(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """docs with pii: counts of base kinds, base_sha256, spans (text form) of each whole text.
+    """docs with pii: counts of base kinds, base_sha256, spans (text form), n_secret and n_found (secrets, all spans) of each whole text.
 
     Null and empty texts have no spans. A base span always stays; a decoded one loses the words that touch a base span, and what is
     left of it overlaps no other. Decoded spans that stand side by side are told apart by their begin labels; labels that tie go to
@@ -386,7 +386,7 @@ def found(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(model or default_model())
 
-    @F.pandas_udf("n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    @F.pandas_udf("n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_secret long, n_found long")
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             values = [t if isinstance(t, str) else "" for t in texts]
@@ -395,8 +395,10 @@ def found(docs: DataFrame, model: Model | None = None) -> DataFrame:
                 bases = [base_spans(t) for t in values[a:b]]
                 for base, added in zip(bases, shared.value.added(values[a:b], bases), strict=True):
                     kinds = [x[0] for x in base]
-                    out.append((*(kinds.count(x) for x in BASE), hashlib.sha256(joined(base).encode()).hexdigest(), joined(all_spans(base, added))))
-            yield pd.DataFrame(out, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
+                    every = all_spans(base, added)
+                    secrets = sum(x[0] == "secret" for x in every)
+                    out.append((*(kinds.count(x) for x in BASE), hashlib.sha256(joined(base).encode()).hexdigest(), joined(every), secrets, len(every)))
+            yield pd.DataFrame(out, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_secret", "n_found"])
 
     rest = [c for c in docs.columns if c != "pii"]
     return docs.select(*[docs[f"`{c}`"] for c in rest], find(docs["text"]).alias("pii"))

@@ -335,6 +335,7 @@ def test_pii_query_equals_a_plain_version(spark):
         n += len(added)
         show = lambda x: ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(x, key=lambda x: (pii.KINDS.index(x[0]), x[1], x[2])))
         assert r.pii.spans == show(base + added), r.text
+        assert (r.pii.n_secret, r.pii.n_found) == (sum(k == "secret" for k, *_ in added), len(base + added))
         assert r.pii.base_sha256 == hashlib.sha256(show(base).encode()).hexdigest()
         every = sorted((a, b) for _, a, b in base + added)
         assert not [1 for (_, b), (a, _) in itertools.pairwise(sorted((a, b) for _, a, b in added)) if a < b]
