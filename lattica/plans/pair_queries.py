@@ -63,9 +63,8 @@ def p2_content_to_columns(spark, sf_dir):
 
 @query(f"WITH {_COLS}, s AS (SELECT x.vec_id AS a, y.vec_id AS b, [{', '.join(f'greatest(0, list_max({_QUARTERS.format(a=f'x.v[{1 + 16 * i}:{16 + 16 * i}]')}))' for i in range(4))}] AS s FROM e x, e y WHERE x.vec_id % 100 = 0 AND x.vec_id <> y.vec_id) SELECT a, b, round(list_sum(list_reverse_sort(s)[1:3]) / 3, 6) AS similarity FROM s")
 def p3_columns_to_columns(spark, sf_dir):
-    p = _quarter_pairs(spark, sf_dir)
-    best = F.array(*[F.greatest(F.lit(0.0), *[vx.cosine(x, y) for y in _quarters(F.col("y"))]) for x in _quarters(F.col("x"))])
-    return p.select("a", "b", F.round(pr.top_mean(best), 6).alias("similarity"))
+    base = _base(spark, sf_dir)
+    return pr.column_similarity(base.where("id % 100 = 0"), base, 4, 16, content=False)
 
 
 @query(f"WITH {PM} SELECT a, b, round(greatest(CASE edge_type WHEN 'doc-doc' THEN topic + content WHEN 'doc-table' THEN topic ELSE content END + entities, 0.01), 6) AS weight FROM pm")
