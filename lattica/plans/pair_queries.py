@@ -44,27 +44,19 @@ _QUARTERS = "[list_cosine_similarity({a}, y.v[1:16]), list_cosine_similarity({a}
 _COLS = """e AS (SELECT vec_id, embedding::DOUBLE[] AS v, label FROM embeddings)"""
 
 
-def _quarter_pairs(spark, sf_dir):
-    base = _base(spark, sf_dir).select("id", F.col("vector").cast("array<double>").alias("v"))
-    x = base.where("id % 100 = 0").select(F.col("id").alias("a"), F.col("v").alias("x"))
-    return base.select(F.col("id").alias("b"), F.col("v").alias("y")).join(F.broadcast(x), F.col("a") != F.col("b"))
-
-
-def _quarters(c):
-    return [F.slice(c, 1 + 16 * i, 16) for i in range(4)]
+def _quarter_pairs(spark, sf_dir, content):
+    base = _base(spark, sf_dir)
+    return pr.column_similarity(base.where("id % 100 = 0"), base, 4, 16, content)
 
 
 @query(f"WITH {_COLS}, s AS (SELECT x.vec_id AS a, y.vec_id AS b, list_reverse_sort({_QUARTERS.format(a='x.v[1:16]')})[1:3] AS s FROM e x, e y WHERE x.vec_id % 100 = 0 AND x.vec_id <> y.vec_id) SELECT a, b, round(list_sum(s) / 3, 6) AS similarity FROM s")
 def p2_content_to_columns(spark, sf_dir):
-    p = _quarter_pairs(spark, sf_dir)
-    sims = F.array(*[vx.cosine(F.slice("x", 1, 16), q) for q in _quarters(F.col("y"))])
-    return p.select("a", "b", F.round(pr.top_mean(sims), 6).alias("similarity"))
+    return _quarter_pairs(spark, sf_dir, content=True)
 
 
 @query(f"WITH {_COLS}, s AS (SELECT x.vec_id AS a, y.vec_id AS b, [{', '.join(f'greatest(0, list_max({_QUARTERS.format(a=f'x.v[{1 + 16 * i}:{16 + 16 * i}]')}))' for i in range(4))}] AS s FROM e x, e y WHERE x.vec_id % 100 = 0 AND x.vec_id <> y.vec_id) SELECT a, b, round(list_sum(list_reverse_sort(s)[1:3]) / 3, 6) AS similarity FROM s")
 def p3_columns_to_columns(spark, sf_dir):
-    base = _base(spark, sf_dir)
-    return pr.column_similarity(base.where("id % 100 = 0"), base, 4, 16, content=False)
+    return _quarter_pairs(spark, sf_dir, content=False)
 
 
 @query(f"WITH {PM} SELECT a, b, round(greatest(CASE edge_type WHEN 'doc-doc' THEN topic + content WHEN 'doc-table' THEN topic ELSE content END + entities, 0.01), 6) AS weight FROM pm")

@@ -12,7 +12,7 @@ from lattica import catalog
 from lattica.operators import pairs as pr
 
 #: Query and vectors of a table whose pairs took several times SECONDS when each was an expression.
-TIMED, SECONDS = [("p3_columns_to_columns", 10_000)], 15
+TIMED, SECONDS = [("p2_content_to_columns", 10_000), ("p3_columns_to_columns", 10_000)], 15
 QUERIES = [name for name, _ in TIMED]
 
 
@@ -54,6 +54,14 @@ def test_passes_tasks_and_blocks_make_no_difference(spark, monkeypatch, content)
     assert rows(found().collect()) == whole and len(whole) == 31 * 300 and found().count() == 31 * 300
 
 
+@pytest.mark.parametrize("content, want", [(True, None), (False, 0.0)])
+def test_no_query_and_queries_without_vectors(spark, content, want):
+    df = spark.createDataFrame([(1, [1.0] * 8), (2, [2.0] * 8)], "id long, vector array<double>")
+    assert pr.column_similarity(df.where("id > 5"), df, 2, 4, content).collect() == []
+    none = spark.createDataFrame([(7, None)], "id long, vector array<double>")
+    assert [tuple(r) for r in pr.column_similarity(none, df, 2, 4, content).orderBy("b").collect()] == [(7, 1, want), (7, 2, want)]
+
+
 def test_vectors_of_another_length_are_refused(spark):
     df = spark.createDataFrame([(0, [1.0] * 4), (1, [1.0] * 12)], "id long, vector array<double>")
     with pytest.raises(Exception, match="2 x 4 numbers"):
