@@ -4,10 +4,11 @@ import os
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lattica.llm import decontaminate, quality, simhash, stages
-from lattica.llm.common import table, written
+from lattica.llm.common import BATCH_BYTES, table, written
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -78,3 +79,36 @@ def test_stages_on_empty_input(spark):
 def test_whole_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+@pytest.fixture
+def unbounded(spark):
+    """The session with Spark's own bound on Arrow batches, put back afterwards."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    was = spark.conf.get(key)
+    spark.conf.unset(key)
+    yield key
+    spark.conf.set(key, was)
+
+
+def test_quality_stage_sends_bounded_batches(spark, unbounded, tmp_path, monkeypatch):
+    path = str(tmp_path / "docs")
+    spark.range(0, 4000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("lorem ipsum "), 400).alias("text")).write.parquet(path)  # 19 MB, one task
+    most = BATCH_BYTES + 100_000
+
+    def within(texts, score):
+        return np.full(len(texts), float(sum(map(len, texts)) <= most))
+
+    monkeypatch.setattr(quality, "fit", lambda *_: quality.Model(0.5))
+    monkeypatch.setattr(quality, "by_block", within)
+    assert stages.quality(spark, spark.read.parquet(path), SF).count() == 4000
+
+
+@pytest.mark.parametrize("stage", [stages.quality, stages.near, stages.decontaminate, stages.pack])
+def test_python_stages_bound_batches(spark, unbounded, stage):
+    empty = table(spark, SF, "documents").limit(0)
+    stage(spark, empty, SF)
+    assert spark.conf.get(unbounded).rstrip("b") == str(BATCH_BYTES)
+    spark.conf.set(unbounded, "1m")
+    stage(spark, empty, SF)
+    assert spark.conf.get(unbounded) == "1m"
